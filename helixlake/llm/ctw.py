@@ -33,10 +33,10 @@ from helixlake.llm import kernels
 from helixlake.llm.common import discard, materialise, prepare
 from helixlake.llm.langid import key_crc
 
-#: Preceding bytes that a context has at most (4 is the most that fits a key).
-DEPTH = 4
+#: Preceding bytes that a context has at most (6 is the most that fits a key).
+DEPTH = 5
 #: Nodes, or words, that one shard of the model holds at most; about 40 bytes each in a worker.
-SHARD_ROWS = 8_000_000
+SHARD_ROWS = 6_000_000
 #: Distinct keys a counting task holds before it passes them on.
 FLUSH = 1_500_000
 #: Slots of a worker's cache of scored grams (a power of two).
@@ -162,7 +162,7 @@ class Shard:
     def __init__(self, index: int, shards: int, depth: np.ndarray, key: np.ndarray, p1: np.ndarray,
                  word: np.ndarray, count: np.ndarray, total: int, distinct: int, ends: int, deepest: int):
         self.index, self.shards, self.deepest = index, shards, deepest
-        self.node, self.p1 = key.astype(np.uint64) | depth.astype(np.uint64) << np.uint64(48), p1
+        self.node, self.p1 = key.astype(np.uint64) | depth.astype(np.uint64) << np.uint64(56), p1
         self.word, self.count, self.total, self.distinct, self.ends = word.astype(np.uint64), count, total, distinct, ends
         self.ready = False
 
@@ -185,7 +185,7 @@ class Shard:
             p = np.full(len(grams), 0.5)
             open_ = np.arange(len(grams))
             for d in range(self.deepest, -1, -1):
-                key = ((context[open_] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | node[open_]) | np.uint64(d << 48)
+                key = ((context[open_] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | node[open_]) | np.uint64(d << 56)
                 at = self.nodes.find(key)
                 hit = at >= 0
                 p[open_[hit]] = self.p1[at[hit]]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import ctw, fingerprint, langid, mixing, packing
+from helixlake.llm import ctw, dartminhash, fingerprint, langid, mixing, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op8_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_report(table(spark, sf_dir, "documents"))
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.class_report(table(spark, sf_dir, "documents"))
+
+
 def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_source_mixing": op6_source_mixing,
         "op8_context_tree_weighting": op8_context_tree_weighting,
+        "op9_dart_minhash": op9_dart_minhash,
         "op10_multiset_fingerprints": op10_multiset_fingerprints,
     }
 
