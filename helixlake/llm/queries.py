@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import ctw, dartminhash, fingerprint, langid, line_dedup, mixing, packing
+from helixlake.llm import ctw, dartminhash, fingerprint, langid, line_dedup, mixing, packing, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op8_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op6_source_mixing": op6_source_mixing,
+        "op7_sparse_suffix_dedup": op7_sparse_suffix_dedup,
         "op8_context_tree_weighting": op8_context_tree_weighting,
         "op9_dart_minhash": op9_dart_minhash,
         "op10_multiset_fingerprints": op10_multiset_fingerprints,
