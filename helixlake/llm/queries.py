@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import ctw, dartminhash, fingerprint, langid, line_dedup, mixing, packing, suffix_dedup
+from helixlake.llm import ctw, dartminhash, fingerprint, langid, line_dedup, mixing, packing, suffix_dedup, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_product_quantisation": op4_product_quantisation,
         "op5_language_id": op5_language_id,
         "op6_source_mixing": op6_source_mixing,
         "op7_sparse_suffix_dedup": op7_sparse_suffix_dedup,
@@ -60,4 +65,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op6_source_mixing": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op6_source_mixing": mixing.ORACLE,
+            "op4_product_quantisation": vector_dedup.ORACLE}
