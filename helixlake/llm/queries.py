@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import ctw, dartminhash, fingerprint, langid, line_dedup, mixing, packing, suffix_dedup, vector_dedup
+from helixlake.llm import ctw, dartminhash, fingerprint, langid, line_dedup, mixing, packing, pii, suffix_dedup, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_personal_data": op3_personal_data,
         "op4_product_quantisation": op4_product_quantisation,
         "op5_language_id": op5_language_id,
         "op6_source_mixing": op6_source_mixing,
@@ -66,4 +71,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": line_dedup.ORACLE, "op6_source_mixing": mixing.ORACLE,
-            "op4_product_quantisation": vector_dedup.ORACLE}
+            "op3_personal_data": op3_personal_data,
+        "op4_product_quantisation": vector_dedup.ORACLE}
