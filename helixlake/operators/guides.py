@@ -42,9 +42,22 @@ def in_target(sites: DataFrame, start: Column, end: Column) -> DataFrame:
     return sites.where((F.col("start") >= start) & (F.col("end") <= end))
 
 
+def _bits(text: str) -> Column:
+    """Two bits a base in a long; null if there are other letters."""
+    return F.when(F.col(text).rlike("^[ACGT]{20}$"), F.conv(F.translate(text, "ACGT", "0123"), 4, 10).cast("long"))
+
+
+def _distance(mask: int, plain: Column) -> Column:
+    """Bases in which the packed guide and site differ under a mask of low bits; plain where a text can't be packed."""
+    differ = F.col("gbits").bitwiseXOR(F.col("sbits"))
+    return F.coalesce(F.bit_count((differ.bitwiseOR(F.shiftright(differ, 1))).bitwiseAND(F.lit(mask))), plain).cast("long")
+
+
 def _verified(pairs: DataFrame, most: int) -> DataFrame:
-    rows = pairs.withColumn("mismatches", S.hamming("guide", "site").cast("long")).where(F.col("mismatches") <= most)
-    return rows.withColumn("seed_mismatches", S.hamming(F.substring("guide", 9, 12), F.substring("site", 9, 12)).cast("long"))
+    ones = lambda k: sum(1 << 2 * i for i in range(k))
+    rows = pairs.withColumn("mismatches", _distance(ones(LENGTH), S.hamming("guide", "site"))).where(F.col("mismatches") <= most)
+    seed = _distance(ones(12), S.hamming(F.substring("guide", 9, 12), F.substring("site", 9, 12)))
+    return rows.withColumn("seed_mismatches", seed).drop("gbits", "sbits")
 
 
 def off_targets(guides: DataFrame, sites: DataFrame, most: int = 3, own_molecule: bool = True) -> DataFrame:
@@ -55,8 +68,8 @@ def off_targets(guides: DataFrame, sites: DataFrame, most: int = 3, own_molecule
     are the join key; pairs are verified once, in their first common block, and
     the join is a shuffled one that AQE can split where a block is frequent.
     """
-    g = guides.select(F.col("molecule_id").alias("guide_molecule"), F.col("start").alias("guide_start"), F.col("strand").alias("guide_strand"), "guide")
-    s = sites.select(F.col("molecule_id").alias("site_molecule"), F.col("start").alias("site_start"), F.col("strand").alias("site_strand"), F.col("guide").alias("site"))
+    g = guides.select(F.col("molecule_id").alias("guide_molecule"), F.col("start").alias("guide_start"), F.col("strand").alias("guide_strand"), "guide", _bits("guide").alias("gbits"))
+    s = sites.select(F.col("molecule_id").alias("site_molecule"), F.col("start").alias("site_start"), F.col("strand").alias("site_strand"), F.col("guide").alias("site"), _bits("guide").alias("sbits"))
     same = ((F.col("guide_molecule") == F.col("site_molecule")) & (F.col("guide_start") == F.col("site_start")) & (F.col("guide_strand") == F.col("site_strand")))
     if own_molecule:
         return _verified(g.join(s, (F.col("guide_molecule") == F.col("site_molecule")) & ~same), most)
