@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from helixlake.functions import text as X
 from helixlake.operators import alignment, assembly, context, editing, gel, guides, mrna, orfs, pcr, restriction, validation
 from helixlake.plans import derive as D
 from helixlake.plans.derive import EDIT, FEAT, MOL, RC
+from helixlake.sources import fasta, genbank, tool_outputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -507,6 +509,68 @@ def map_positions(spark, d):
     return D.features(spark, d).select("molecule_id", "feature_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
+# Sources and sinks
+
+
+@query("fasta_roundtrip", f"WITH {MOL} SELECT 'm' || CAST(molecule_id AS VARCHAR) || ' ' || name AS name, sequence FROM mol")
+def fasta_roundtrip(spark, d):
+    m = D.molecules(spark, d)
+    name = F.concat(F.lit("m"), F.col("molecule_id").cast("string"), F.lit(" "), "name")
+    return fasta.parse(m.select(F.col("molecule_id").alias("path"), fasta.formatted(name, F.col("sequence")).alias("content")))[0].select("name", "sequence")
+
+
+@query("genbank_roundtrip", f"""WITH {MOL}, {FEAT} SELECT 'm' || CAST(molecule_id AS VARCHAR) AS name, sequence, topology, coalesce(n, 0) AS n_features, coalesce(first, '') AS first_location
+FROM mol LEFT JOIN (SELECT molecule_id, count(DISTINCT feature_id) AS n, min(txt) AS first FROM (
+  SELECT s.molecule_id, s.feature_id, CASE WHEN s.strand = '-' THEN 'complement(' ELSE '' END || CASE WHEN two THEN 'join(' ELSE '' END || string_agg(s.s || '..' || s.e, ',' ORDER BY i)
+    || CASE WHEN two THEN ')' ELSE '' END || CASE WHEN s.strand = '-' THEN ')' ELSE '' END AS txt FROM seg s JOIN feat f USING (molecule_id, feature_id) GROUP BY s.molecule_id, s.feature_id, s.strand, two)
+  GROUP BY molecule_id) USING (molecule_id)""")
+def genbank_roundtrip(spark, d):
+    f = D.features(spark, d).groupBy("molecule_id").agg(F.collect_set(F.struct(F.col("type").alias("key"), "feature_id", "segments")).alias("fs"))
+    m = D.molecules(spark, d).join(f, "molecule_id", "left")
+
+    def write(frames):
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["molecule_id"].astype(str), "content": [
+                genbank.write_record(f"m{k}", seq, top, features=[{"key": x["key"], "segments": x["segments"], "qualifiers": {"label": [x["feature_id"]]}} for x in (fs if fs is not None else [])])
+                for k, seq, top, fs in zip(frame["molecule_id"], frame["sequence"], frame["topology"], frame["fs"])]})
+
+    files = m.select("molecule_id", "sequence", "topology", "fs").mapInPandas(write, "path string, content string")
+    return genbank.parse(files).select("name", "sequence", "topology", F.size("features").cast("long").alias("n_features"),
+                                       F.coalesce(F.array_min(F.transform("features", lambda x: x["location"])), F.lit("")).alias("first_location"))
+
+
+@query("location_parser", f"""WITH {FEAT} SELECT molecule_id, feature_id, CAST(CASE WHEN two THEN 2 ELSE 1 END AS BIGINT) AS n, a AS first_start, CASE WHEN two THEN a + q + 14 ELSE a + q END AS last_end, strand FROM feat""")
+def location_parser(spark, d):
+    span = F.array_join(F.transform("segments", lambda s: F.concat(s["start"].cast("string"), F.lit(".."), s["end"].cast("string"))), ",")
+    text = F.when(F.size("segments") > 1, F.concat(F.lit("join("), span, F.lit(")"))).otherwise(span)
+    text = F.when(F.get("segments", F.lit(0))["strand"] == "-", F.concat(F.lit("complement("), text, F.lit(")"))).otherwise(text)
+    f = D.features(spark, d).select("molecule_id", "feature_id", genbank.location_column(text).alias("s"))
+    return f.select("molecule_id", "feature_id", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0))["start"].alias("first_start"),
+                    F.element_at("s", -1)["end"].alias("last_end"), F.get("s", F.lit(0))["strand"].alias("strand"))
+
+
+@query("blast_hits", """SELECT CAST(p_partkey AS VARCHAR) AS path, 'A' || CAST(p_partkey AS VARCHAR) AS accession, CAST(h AS BIGINT) AS hsp, floor((200 - h * 10) / 250 * 10000 + 0.5) / 100 AS identity_percent,
+  CAST(CASE WHEN h = 2 THEN 20 ELSE 10 END AS BIGINT) AS subject_start, CASE WHEN h = 2 THEN '-' ELSE '+' END AS strand FROM part, range(1, 3) r(h)""")
+def blast_hits(spark, d):
+    hsp = lambda h, a, b, strand: F.struct(F.lit(200 - h * 10).alias("identity"), F.lit(250).alias("align_len"), F.lit(a).alias("hit_from"), F.lit(b).alias("hit_to"), F.lit(strand).alias("hit_strand"))
+    hit = F.struct(F.array(F.struct(F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("accession"))).alias("description"),
+                   F.array(hsp(1, 10, 30, "Plus"), hsp(2, 40, 20, "Minus")).alias("hsps"))
+    report = F.struct(F.struct(F.struct(F.struct(F.lit(300).alias("query_len"), F.array(hit).alias("hits")).alias("search")).alias("results")).alias("report"))
+    files = D.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.to_json(F.struct(F.array(report).alias("BlastOutput2"))).alias("content"))
+    return tool_outputs.blast_hits(files).select("path", "accession", "hsp", "identity_percent", "subject_start", "strand")
+
+
+@query("primer3_pairs", """SELECT CAST(p_partkey AS BIGINT) AS record_id, CAST(k + 1 AS BIGINT) AS rank, CAST(p_size + 1 AS BIGINT) AS left_start, CAST(p_size + 20 AS BIGINT) AS left_end,
+  CAST(p_size + 281 AS BIGINT) AS right_start, CAST(p_size + 300 AS BIGINT) AS right_end, CAST(300 AS BIGINT) AS product_size FROM part, range(0, 2) r(k)""")
+def primer3_pairs(spark, d):
+    p, n = D.table(spark, d, "part"), F.col("p_size")
+    lines = [F.lit("PRIMER_PAIR_NUM_RETURNED=2")]
+    for k in range(2):
+        lines += [F.concat(F.lit(f"PRIMER_LEFT_{k}="), n.cast("string"), F.lit(",20")), F.concat(F.lit(f"PRIMER_RIGHT_{k}="), (n + 299).cast("string"), F.lit(",20")), F.lit(f"PRIMER_PAIR_{k}_PRODUCT_SIZE=300")]
+    records = p.select(F.col("p_partkey").cast("long").alias("record_id"), F.concat_ws("\n", *lines, F.lit("=")).alias("content"))
+    return tool_outputs.primer_pairs(records).select("record_id", "rank", "left_start", "left_end", "right_start", "right_end", "product_size")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
