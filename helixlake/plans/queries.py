@@ -539,6 +539,22 @@ def genbank_roundtrip(spark, d):
                                        F.coalesce(F.array_min(F.transform("features", lambda x: x["location"])), F.lit("")).alias("first_location"))
 
 
+@query("detect_format", """SELECT CAST(page_id AS BIGINT) AS page_id, CASE page_id % 4 WHEN 0 THEN 'fasta' WHEN 1 THEN 'genbank' WHEN 2 THEN 'fasta' ELSE NULL END AS format FROM pages""")
+def detect_format(spark, d):
+    k = F.col("page_id") % 4
+    path = F.concat("url", F.when(k == 0, ".FASTA").when(k == 1, ".gbk").otherwise(".txt"))
+    return D.table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), fasta.detect_format(path, F.when(k == 2, ">x").otherwise("text")).alias("format"))
+
+
+@query("blast_request", """SELECT CAST(event_id AS BIGINT) AS event_id, 'R' || CAST(user_id AS VARCHAR) AS rid, CAST(event_id % 90 AS BIGINT) AS seconds,
+  CASE WHEN event_id % 3 = 0 THEN 'READY' ELSE 'UNKNOWN' END AS status FROM events""")
+def blast_request(spark, d):
+    e = D.table(spark, d, "events")
+    text = F.concat(F.lit("<!--\n RID = R"), F.col("user_id").cast("string"), F.lit("\n RTOE = "), (F.col("event_id") % 90).cast("string"), F.when(F.col("event_id") % 3 == 0, "\nStatus=READY").otherwise(""))
+    rid, seconds, status = tool_outputs.blast_request(text)
+    return e.select(F.col("event_id").cast("long").alias("event_id"), rid.alias("rid"), seconds.alias("seconds"), status.alias("status"))
+
+
 @query("location_parser", f"""WITH {FEAT} SELECT molecule_id, feature_id, CAST(CASE WHEN two THEN 2 ELSE 1 END AS BIGINT) AS n, a AS first_start, CASE WHEN two THEN a + q + 14 ELSE a + q END AS last_end, strand FROM feat""")
 def location_parser(spark, d):
     span = F.array_join(F.transform("segments", lambda s: F.concat(s["start"].cast("string"), F.lit(".."), s["end"].cast("string"))), ",")
