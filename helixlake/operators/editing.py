@@ -63,7 +63,8 @@ def remap(features: DataFrame, edits: DataFrame) -> DataFrame:
                                            F.col("end").alias("_b"), F.length("inserted").alias("_k"))
     rows = features.join(e, "molecule_id")
     rows = rows.withColumn("_all", F.transform("segments", lambda s: _segment(s, F.col("_ins"), F.col("_a"), F.col("_b"), F.col("_k"))))
-    left = F.filter("_all", lambda s: s["start"].isNotNull())
+    left = F.transform(F.filter("_all", lambda s: s["start"].isNotNull()),
+                       lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["strand"].alias("strand")))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"] + 1)
     has = lambda what: F.exists("_all", lambda s: s["impact"] == what)
     impact = F.when(F.size(left) == 0, F.lit("deleted"))

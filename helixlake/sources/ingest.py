@@ -1,13 +1,45 @@
-"""Identifiers of imported records."""
+"""Rows of workspace tables from imported files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixlake.functions import sequence as S
+from helixlake.functions import text as X
+from helixlake.sources import fasta, genbank
+
 
 def unique_ids(rows: DataFrame, slug: str, order: str) -> DataFrame:
     """Adds id: the slug, with _2, _3 ... for its later rows."""
     k = F.row_number().over(Window.partitionBy(slug).orderBy(order))
     return rows.withColumn("_k", k).withColumn("id", F.when(F.col("_k") == 1, F.col(slug)).otherwise(
         F.concat(F.col(slug), F.lit("_"), F.col("_k").cast("string")))).drop("_k")
+
+
+def records(files: DataFrame, kind: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(molecules, features) of files(path, content); ids differ from each other and from known(slug, place).
+
+    FASTA records are linear DNA.  Files or records that can't be parsed raise nothing here and give no rows.
+    """
+    if kind == "fasta":
+        rows = fasta.parse(files)[0].select("path", "record", "name", "sequence", F.lit("linear").alias("topology"), F.lit("dna").alias("molecule_type"),
+                                            F.lit(None).cast("string").alias("description"), F.lit(None).alias("parsed"))
+    else:
+        rows = genbank.parse(files).where("error is null").select("path", F.lit(1).cast("long").alias("record"), "name", "sequence", "topology", "molecule_type", "description", F.col("features").alias("parsed"))
+    rows = rows.withColumn("slug", X.slug(F.col("name"))).withColumn("place", F.struct("path", "record"))
+    used = known.groupBy("slug").agg(F.count("*").alias("used"))
+    k = F.row_number().over(Window.partitionBy("slug").orderBy("place")) + F.coalesce("used", F.lit(0))
+    rows = rows.join(used, "slug", "left").withColumn("k", k).withColumn("molecule_id", F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("_"), F.col("k").cast("string"))))
+    seq = S.normalize("sequence")
+    molecules = rows.select("molecule_id", "name", "topology", "molecule_type", F.when(F.col("molecule_type") == "protein", "protein").when(F.col("molecule_type") == "rna", "iupac_rna").otherwise("iupac_dna").alias("alphabet"),
+                            seq.alias("sequence"), F.length(seq).cast("long").alias("length"), S.digest(seq).alias("digest"), "description")
+    if kind == "fasta":
+        segments = "array<struct<start:long,end:long,strand:string>>"
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("feature_id", "string"), ("molecule_id", "string"), ("name", "string"), ("type", "string"), ("segments", segments),
+                                                         ("qualifiers", "map<string,array<string>>"), ("source", "string"))]
+        return molecules, rows.select(*none).limit(0)
+    f = rows.select("molecule_id", F.posexplode("parsed").alias("i", "f"))
+    label = F.coalesce(*[F.get(F.try_element_at("f.qualifiers", F.lit(q)), F.lit(0)) for q in ("label", "gene", "product")], F.col("f.key"))
+    return molecules, f.select(F.concat("molecule_id", F.lit("_f"), (F.col("i") + 1).cast("string")).alias("feature_id"), "molecule_id", label.alias("name"), F.col("f.key").alias("type"),
+                               F.col("f.segments").alias("segments"), F.col("f.qualifiers").alias("qualifiers"), F.lit("import").alias("source"))

@@ -12,8 +12,8 @@ from helixlake import __version__, artifacts
 from helixlake import constants as K
 from helixlake.errors import MoleculeError
 from helixlake.functions import sequence as S
-from helixlake.operators import alignment, assembly, context, guides, mrna, orfs, pcr, restriction
-from helixlake.sources import genbank
+from helixlake.operators import alignment, assembly, context, editing, guides, mrna, orfs, pcr, restriction
+from helixlake.sources import fasta, genbank, ingest, remote, tool_outputs
 from helixlake.store import SCHEMAS, Workspace, issues
 
 #: Bytes of an answer; beyond, data is replaced by its size.
@@ -267,3 +267,83 @@ def export_protein_fasta(spark, workspace, molecule, start, end):
     if (end - start + 1) % 3:
         raise MoleculeError("INVALID_ARGUMENT", "The coding region isn't whole codons.")
     return {"text": artifacts.protein_fasta(molecule, translate_region(spark, workspace, molecule, start, end)["amino_acids"])}
+
+
+@tool({"path": _STRING, "workspace": _STRING}, {"revision": {"type": "integer", "minimum": 0}, "format": {"type": "string", "enum": ["fasta", "genbank"]}})
+def open_sequence(spark, path, workspace, revision=None, format=None):
+    """Imports FASTA or GenBank files into a workspace, which is made if it isn't there."""
+    w = Workspace.create(spark, workspace)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    kind = fasta.detect_format(F.col("path"), F.substring("content", 1, 256), F.lit(format) if format else None)
+    kinds = {r["k"] for r in files.select(kind.alias("k")).distinct().collect()}
+    if len(kinds) != 1 or None in kinds:
+        raise MoleculeError("UNSUPPORTED_FORMAT", "Files must be all FASTA or all GenBank.", path=path)
+    known = w.read()["molecules"].select(F.col("molecule_id").alias("slug"), F.lit(0).alias("place"))
+    molecules, features = ingest.records(files, kinds.pop(), known)
+    tables = w.read()
+    new = {"molecules": tables["molecules"].unionByName(molecules), "features": tables["features"].unionByName(features)}
+    return {"revision": w.transact(w.revision() if revision is None else revision, lambda _: new), "imported": molecules.count()}
+
+
+@tool(_AT | {"revision": {"type": "integer", "minimum": 0}, "operation": {"type": "string", "enum": ["insert", "delete", "replace", "mutate"]}, "start": _INT}, {"end": _INT, "sequence": _STRING})
+def edit_sequence(spark, workspace, molecule, revision, operation, start, end=None, sequence=""):
+    """Edits a molecule and remaps its features in one transaction."""
+    rows = _molecule(spark, workspace, molecule)
+    columns = rows.columns
+    edit = editing.normalise(rows.select("*", F.lit(operation).alias("operation"), F.lit(start).cast("long").alias("start"),
+                                         F.lit(end).cast("long").alias("end"), S.normalize(F.lit(sequence)).alias("inserted")))
+    code = edit.first()["code"]
+    if code:
+        raise MoleculeError(code, "The edit can't be made.", operation=operation, start=start, end=end)
+    w = Workspace(spark, workspace)
+    own = F.col("molecule_id") == molecule
+    remapped = editing.remap(w.read(revision)["features"].where(own), edit) if revision == w.revision() else None
+    impacts = [] if remapped is None else [r.asDict() for r in remapped.select("feature_id", "impact", "frameshift").orderBy("feature_id").collect()]
+
+    def change(t):
+        done = editing.apply(edit).withColumn("sequence", F.col("edited")).withColumn("length", F.col("edited_length")).withColumn("digest", S.digest("edited"))
+        moved = remapped.where(F.size("remapped") > 0).withColumn("segments", F.col("remapped")).withColumn("source", F.lit("tool:edit_sequence"))
+        return {"molecules": t["molecules"].where(~own).unionByName(done.select(*columns)),
+                "features": t["features"].where(~own).unionByName(moved.select(*t["features"].columns))}
+
+    return {"revision": w.transact(revision, change), "impacts": impacts}
+
+
+@tool({"workspace": _STRING, "guides": _LIST})
+def export_grna_report(spark, workspace, guides):
+    found = {g["guide_id"]: g.asDict() for g in Workspace(spark, workspace).read()["guides"].where(F.col("guide_id").isin(list(guides))).collect()}
+    for g in found.values():
+        gc = sum(b in "GC" for b in g["sequence"])
+        g |= {"gc_percent": int(gc / len(g["sequence"]) * 10000 + 0.5) / 100, "off_targets": "-"}
+    return {"text": artifacts.guide_report(found, list(guides))}
+
+
+@tool(_AT | {"start": _INT, "end": _INT})
+def design_primers(spark, workspace, molecule, start, end):
+    rows = _clear(_molecule(spark, workspace, molecule))
+    text = rows.select(tool_outputs.primer_request(F.col("molecule_id"), F.col("sequence"), F.lit(start), F.lit(end)).alias("x")).first()["x"]
+    answer = spark.createDataFrame([(molecule, remote.primer3(text))], "record_id string, content string")
+    return _rows(tool_outputs.primer_pairs(answer), 100, "rank")
+
+
+#: Set by the host to reach a BLAST service; without one the tool says so.
+blast_transport: remote.Transport | None = None
+
+
+@tool({"program": _STRING, "database": _STRING, "sequence": _STRING}, {"hits": _INT, "molecule_type": _STRING})
+def blast_sequence(spark, program, database, sequence, hits=20, molecule_type="dna"):
+    remote.check_arguments(program, database, molecule_type, hits)
+    if blast_transport is None:
+        raise MoleculeError("DEPENDENCY_MISSING", "No transport to a BLAST service is set.")
+    answer = remote.search(sequence, program, database, blast_transport, hits, budget=120.0)
+    found = tool_outputs.blast_hits(spark.createDataFrame([("query", answer)], "path string, content string"))
+    return _rows(found, 100, "hit", "hsp") | {"hitsTruncated": found.select("hit").distinct().count() >= hits}
+
+
+@tool({"files": _OBJECT})
+def export_review_bundle(spark, files):
+    """An archive of text files and its digest; equal files give equal bytes."""
+    import hashlib
+
+    data = artifacts.archive({k: str(v).encode() for k, v in files.items()})
+    return {"bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}

@@ -34,6 +34,23 @@ def test_tools(spark, tmp_path):
     assert call("validate_workspace", workspace=path)["data"]["total"] == 0
 
 
+def test_import_and_edit(spark, tmp_path):
+    from helixlake.sources import genbank
+
+    path, file = str(tmp_path / "w"), tmp_path / "x.gb"
+    file.write_text(genbank.write_record("plasmid", "ACGT" * 10, "circular", features=[{"key": "CDS", "name": "a", "segments": [{"start": 5, "end": 10, "strand": "+"}]}]))
+    call = lambda name, **a: tools.call(spark, name, a)
+    assert call("open_sequence", path=str(file), workspace=path)["data"] == {"revision": 1, "imported": 1}
+    assert call("open_sequence", path=str(file), workspace=path)["data"]["revision"] == 2
+    assert [r["molecule_id"] for r in call("list_molecules", workspace=path)["data"]["rows"]] == ["plasmid", "plasmid_2"]
+    got = call("edit_sequence", workspace=path, molecule="plasmid", revision=2, operation="insert", start=7, sequence="gg")
+    assert got["data"]["impacts"] == [{"feature_id": "plasmid_f1", "impact": "split", "frameshift": True}] and got["data"]["revision"] == 3
+    now = call("get_sequence_context", workspace=path, molecule="plasmid")["data"]
+    assert now["sequence"][:10] == "ACGTACGGGT" and now["features"]["rows"][0]["segments"] == [{"start": 5, "end": 12, "strand": "+"}]
+    assert call("edit_sequence", workspace=path, molecule="plasmid", revision=3, operation="delete", start=50, end=60)["error"]["code"] == "COORDINATE_OUT_OF_RANGE"
+    assert call("blast_sequence", program="blastn", database="nt", sequence="ACGT")["error"]["code"] == "DEPENDENCY_MISSING"
+
+
 def test_schema_gate():
     schema = {"type": "object", "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"type": "string"}}}, "required": ["a"], "additionalProperties": False}
     assert tools.violations({"a": 1, "b": ["x"]}, schema) == []
