@@ -6,7 +6,7 @@ node has a Krichevsky-Trofimov estimate from its counts of zeros and ones; the
 weighted probability of a node is half its own block probability plus half the
 product of its children's, and the resulting posterior weights mix the
 estimates of all depths on a decision's path (the path ends at the deepest
-context that was seen).  Texts are lowered (A-Z) and end with a zero byte.
+context that was seen MIN_COUNT times).  Texts are lowered (A-Z) and end with a zero byte.
 
 The counts cover every training text and are summed in Spark, depth by depth:
 children's counts and log probabilities are pre-aggregated into their parents,
@@ -35,8 +35,10 @@ from helixlake.llm.langid import key_crc
 
 #: Preceding bytes that a context has at most (6 is the most that fits a key).
 DEPTH = 5
+#: Decisions that a context must have been seen in to be part of a path.
+MIN_COUNT = 2
 #: Nodes, or words, that one shard of the model holds at most; about 40 bytes each in a worker.
-SHARD_ROWS = 6_000_000
+SHARD_ROWS = 3_000_000
 #: Distinct keys a counting task holds before it passes them on.
 FLUSH = 1_500_000
 #: Slots of a worker's cache of scored grams (a power of two).
@@ -148,7 +150,8 @@ def nodes(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             here = here.withColumn("parent", _parent(d)).join(above, "parent").drop("parent")
         above = here.select(F.col("key").alias("parent"), (F.col("sum") + F.col("left") * F.col("own") * kt).alias("sum"),
                             (F.col("left") * (1 - F.col("own"))).alias("left"))
-        part = here.select(F.lit(d).alias("depth"), "key", (F.col("sum") + F.col("left") * kt).alias("p1"))
+        often = here if d == 0 else here.where(F.col("n0") + F.col("n1") >= MIN_COUNT)
+        part = often.select(F.lit(d).alias("depth"), "key", (F.col("sum") + F.col("left") * kt).alias("p1"))
         out = part if out is None else out.unionByName(part)
     out = materialise(out, "ctw-nodes")
     for x in levels.values():
@@ -159,19 +162,18 @@ def nodes(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 class Shard:
     """What a worker needs to score the positions and words of one shard."""
 
-    def __init__(self, index: int, shards: int, depth: np.ndarray, key: np.ndarray, p1: np.ndarray,
-                 word: np.ndarray, count: np.ndarray, total: int, distinct: int, ends: int, deepest: int):
+    def __init__(self, index: int, shards: int, node: np.ndarray, p1: np.ndarray, word: np.ndarray, count: np.ndarray,
+                 total: int, distinct: int, ends: int, deepest: int):
         self.index, self.shards, self.deepest = index, shards, deepest
-        self.node, self.p1 = key.astype(np.uint64) | depth.astype(np.uint64) << np.uint64(56), p1
-        self.word, self.count, self.total, self.distinct, self.ends = word.astype(np.uint64), count, total, distinct, ends
+        self.node, self.p1, self.word, self.count = node, p1, word, count
+        self.total, self.distinct, self.ends = total, distinct, ends
         self.ready = False
 
     def open(self) -> None:
         if not self.ready:
             self.nodes, self.words = kernels.HashTable(self.node), kernels.HashTable(self.word)
-            base = self.total + 0.5 * (self.distinct + 1)
-            self.word_log = np.log10((np.append(self.count, 0) + 0.5) / base)
-            self.end_log = float(np.log10((self.ends + 0.5) / base))
+            self.base = self.total + 0.5 * (self.distinct + 1)
+            self.end_log = float(np.log10((self.ends + 0.5) / self.base))
             self.cached = np.zeros(1 << CACHE_BITS, np.uint64)
             self.value = np.zeros(1 << CACHE_BITS)
             self.ready = True
@@ -188,7 +190,7 @@ class Shard:
                 key = ((context[open_] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | node[open_]) | np.uint64(d << 56)
                 at = self.nodes.find(key)
                 hit = at >= 0
-                p[open_[hit]] = self.p1[at[hit]]
+                p[open_[hit]] = self.p1[at[hit]].astype(float)
                 open_ = open_[~hit]
                 if not len(open_):
                     break
@@ -221,7 +223,9 @@ class Shard:
         found = np.full(len(words), -1, np.int32)
         found[mine] = self.words.find(words[mine])
         sums = lambda x: np.concatenate([[0], np.cumsum(x)])[at]
-        base = np.diff(sums(np.where(mine, self.word_log[found], 0.0)))
+        seen_words = np.zeros(len(words))
+        seen_words[found >= 0] = self.count[found[found >= 0]]
+        base = np.diff(sums(np.where(mine, np.log10((seen_words + 0.5) / self.base), 0.0)))
         known, many = np.diff(sums(found >= 0)), np.diff(sums(mine))
         if self.index == 0:  # the end of the text is a token, too
             base, known, many = base + self.end_log, known + (self.ends > 0), many + 1
@@ -236,6 +240,25 @@ def _shard_column(x: Column, shards: int) -> Column:
     return F.shiftright((x.bitwiseAND(F.lit(0xFFFF)) * 40503).bitwiseAND(F.lit(0xFFFF)) * shards, 16)
 
 
+def packed(rows: DataFrame, many: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """rows(key, value), many of them, as two arrays of 8 bytes and the kind's.
+
+    Partitions come one after the other into arrays of the final size, so the
+    driver holds one shard and one partition.  For rows of a size that was checked.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().astype(kind).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], ["k", "v"])
+
+    keys, values, at = np.empty(many, np.uint64), np.empty(many, kind), 0
+    for r in rows.mapInArrow(run, "k binary, v binary").toLocalIterator():
+        own = np.frombuffer(r["k"], np.uint64)
+        keys[at : at + len(own)], values[at : at + len(own)] = own, np.frombuffer(r["v"], kind)
+        at += len(own)
+    return keys, values
+
+
 def score(docs: DataFrame, training: Column, depth: int = DEPTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Scores all docs under counts of the rows where training holds.
 
@@ -257,13 +280,11 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, shard_rows: int
         if shards > 1:
             own_nodes = own_nodes.where((F.col("depth") < 2) | (_shard_column(F.shiftright("key", 8), shards) == index))
             own_words = own_words.where(_shard_column(F.shiftright("key", 40), shards) == index)
-        a = own_nodes.select("depth", "key", "p1").toArrow()
-        b = own_words.select("key", "n").toArrow()
-        column = lambda t, c: t.column(c).to_numpy()
-        shipped = spark.sparkContext.broadcast(Shard(
-            index, shards, column(a, "depth"), column(a, "key"), column(a, "p1"), column(b, "key").view(np.uint64),
-            column(b, "n"), total, distinct, ends, depth))
-        del a, b
+        key = F.col("key").bitwiseOR(F.shiftleft(F.col("depth").cast("long"), 56)).alias("key")
+        node, p1 = packed(own_nodes.select(key, "p1"), own_nodes.count(), np.float32)
+        word, many = packed(own_words.select("key", "n"), own_words.count(), np.uint32 if total < 1 << 32 else np.int64)
+        shipped = spark.sparkContext.broadcast(Shard(index, shards, node, p1, word, many, total, distinct, ends, depth))
+        del node, p1, word, many
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
