@@ -15,8 +15,7 @@ Intervals are never expanded into pairs: a suffix has one partner a depth.  So
 where a place repeats several earlier ones that overlap, a few words at the rim
 of the shorter overlap can stay (7 of 45,615 words on the smallest test table).
 
-Defined results: documents are ordered by doc_id (null first), then by row;
-null, empty or short texts have no repeats; repeats within one document count,
+Defined results: documents are ordered as the table's rows are read; null, empty or short texts have no repeats; repeats within one document count,
 at their later place; repeated rows repeat their whole text; an empty table
 gives an empty result; other columns are carried along by ``remove``.
 """
@@ -35,8 +34,9 @@ from helixlake.llm.common import discard, materialise, prepare
 
 #: KEY + WINDOW - 1 <= MIN_WORDS and GRAM <= KEY: no repeat of MIN_WORDS words goes without a common suffix.
 MIN_WORDS, KEY, WINDOW, GRAM = 50, 26, 25, 8
-#: Words compared at either end of a match at first; matches that go on are extended again, twice as far each time.
-REACH = KEY + WINDOW
+#: Words compared at either end of a match, and at the ends of those that agreed so far.  A match that goes on
+#: beyond has further common suffixes there, which are matches of their own.
+REACHES = (KEY + WINDOW, 4 * (KEY + WINDOW))
 
 
 def selected(words: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -63,10 +63,10 @@ def selected(words: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: i
 
 
 def _suffixes(base: DataFrame) -> DataFrame:
-    """(uid, doc_id, pos, key, next): the kept suffixes of base(uid, doc_id, text)."""
+    """(uid, pos, key, next): the kept suffixes of base(uid, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.chunks(batch.column(2)):
+            for part in kernels.chunks(batch.column(1)):
                 words, first, _ = part.words()
                 at = selected(words, first)
                 doc = np.searchsorted(first, at, "right") - 1
@@ -78,10 +78,10 @@ def _suffixes(base: DataFrame) -> DataFrame:
                     follow[:-1] = np.where(doc[1:] == doc[:-1], key[1:], np.uint64(0))
                 rows = pa.array(doc + part.first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - first[doc]).astype(np.int32)),
-                     pa.array(key.view(np.int64)), pa.array(follow.view(np.int64))], ["uid", "doc_id", "pos", "key", "next"])
+                    [batch.column(0).take(rows), pa.array((at - first[doc]).astype(np.int32)),
+                     pa.array(key.view(np.int64)), pa.array(follow.view(np.int64))], ["uid", "pos", "key", "next"])
 
-    return base.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, pos int, key long, next long")
+    return base.select("uid", "text").mapInArrow(run, "uid long, pos int, key long, next long")
 
 
 def _contexts(base: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
@@ -121,32 +121,35 @@ def _common(x: bytes, y: bytes) -> int:
 
 
 def repeats(base: DataFrame) -> DataFrame:
-    """(uid, start, end, source_uid, source_start, source_doc): repeats in words of base(uid, doc_id, text), which is stored."""
+    """(uid, start, end, source_uid, source_start): repeats in words of base(uid, doc_id, text), which is stored; uid is the order."""
     prepare(base.sparkSession)
     suffixes = materialise(_suffixes(base), "sparse-suffixes")
-    place = F.struct("doc_id", "uid", "pos")
+    place = F.struct("uid", "pos")
     common = suffixes.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    inner = (suffixes.where("next != 0").groupBy("key", "next").agg(F.min(place).alias("head"), F.count("*").alias("n"))
+    shared = materialise(suffixes.join(common, "key"), "sparse-shared")
+    discard(suffixes)
+    # Neighbours that agree to the next kept suffix agree in their keys, too.
+    inner = (shared.where("next != 0").groupBy("key", "next").agg(F.min(place).alias("head"), F.count("*").alias("n"))
              .where("n > 1").select("key", "next", "head"))
+
     def pairs(joined: DataFrame) -> DataFrame:
         other = (F.col("head.uid") != F.col("uid")) | (F.col("head.pos") != F.col("pos"))
-        return joined.where(other).select("uid", "pos", F.col("head.uid").alias("source_uid"), F.col("head.doc_id").alias("source_doc"),
-                                          (F.col("pos") - F.col("head.pos")).alias("shift"))
+        return joined.where(other).select("uid", "pos", F.col("head.uid").alias("source_uid"), (F.col("pos") - F.col("head.pos")).alias("shift"))
 
-    matched = pairs(suffixes.join(common, "key")).union(pairs(suffixes.join(inner, ["key", "next"]))).distinct()
+    matched = pairs(shared).union(pairs(shared.drop("head").join(inner, ["key", "next"]))).distinct()
     runs = materialise(_joined(matched.withColumn("a", F.col("pos")).withColumn("b", F.col("pos") + KEY)), "sparse-runs")
-    discard(suffixes)
-    found, reach = None, REACH
-    while True:
+    discard(shared)
+    found = None
+    for reach in REACHES:
         extended = materialise(_extended(base, runs, reach), "sparse-extended")
         whole = extended.where("not more")
         found = whole if found is None else found.union(whole)
         going = extended.where("more")
-        if going.limit(1).count() == 0:
-            break
-        runs, reach = materialise(_joined(going), "sparse-runs"), 2 * reach
+        discard(runs)
+        runs = materialise(_joined(going), "sparse-runs")
+    found = found.union(runs.withColumn("more", F.lit(True)).select(*found.columns))
     return found.where(F.col("b") - F.col("a") >= MIN_WORDS).select(
-        "uid", F.col("a").alias("start"), F.col("b").alias("end"), "source_uid", (F.col("a") - F.col("shift")).alias("source_start"), "source_doc")
+        "uid", F.col("a").alias("start"), F.col("b").alias("end"), "source_uid", (F.col("a") - F.col("shift")).alias("source_start"))
 
 
 def _joined(matches: DataFrame) -> DataFrame:
@@ -154,7 +157,7 @@ def _joined(matches: DataFrame) -> DataFrame:
     diagonal = Window.partitionBy("uid", "source_uid", "shift").orderBy("a", "b")
     reached = F.max("b").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
     runs = matches.withColumn("starts", F.coalesce(F.col("a") > reached, F.lit(True)).cast("int")).withColumn("run", F.sum("starts").over(diagonal))
-    return runs.groupBy("uid", "source_uid", "source_doc", "shift", "run").agg(
+    return runs.groupBy("uid", "source_uid", "shift", "run").agg(
         F.min("a").cast("int").alias("a"), F.max("b").cast("int").alias("b")).drop("run")
 
 
@@ -167,19 +170,19 @@ def _extended(base: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
     there = ends.select(F.col("uid").alias("source_uid"), F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("left").alias("l2"), F.col("right").alias("r2"))
     both = (runs.withColumn("sa", F.col("a") - F.col("shift")).withColumn("sb", F.col("b") - F.col("shift"))
             .join(here, ["uid", "a", "b"]).join(there, ["source_uid", "sa", "sb"])
-            .select("uid", "a", "b", "source_uid", "source_doc", "shift", "l1", "r1", "l2", "r2"))
+            .select("uid", "a", "b", "source_uid", "shift", "l1", "r1", "l2", "r2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            l1, r1, l2, r2 = (batch.column(i).to_pylist() for i in range(6, 10))
+            l1, r1, l2, r2 = (batch.column(i).to_pylist() for i in range(5, 9))
             left = np.array([_common(x, y) for x, y in zip(l1, l2)], np.int32)
             right = np.array([_common(x, y) for x, y in zip(r1, r2)], np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(batch.column(1).to_numpy() - left, pa.int32()), pa.array(batch.column(2).to_numpy() + right, pa.int32()),
-                 *[batch.column(i) for i in range(3, 6)], pa.array((left == reach) | (right == reach))],
-                ["uid", "a", "b", "source_uid", "source_doc", "shift", "more"])
+                 *[batch.column(i) for i in range(3, 5)], pa.array((left == reach) | (right == reach))],
+                ["uid", "a", "b", "source_uid", "shift", "more"])
 
-    return both.mapInArrow(run, "uid long, a int, b int, source_uid long, source_doc long, shift int, more boolean")
+    return both.mapInArrow(run, "uid long, a int, b int, source_uid long, shift int, more boolean")
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -192,12 +195,15 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     base = _base(docs)
     found = repeats(base)
     # A passage that is matched at several depths counts once, with its earliest source, and not within a longer one.
-    once = found.groupBy("uid", "start", "end").agg(F.min(F.struct("source_doc", "source_uid", "source_start")).alias("s"))
+    once = found.groupBy("uid", "start", "end").agg(F.min(F.struct("source_uid", "source_start")).alias("s"))
     earlier = Window.partitionBy("uid").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     once = once.withColumn("reached", F.max("end").over(earlier)).where("reached is null or reached < end")
-    return once.join(base.select("uid", "doc_id"), "uid").select(
+    names = base.select("uid", "doc_id")
+    sources = base.select(F.col("uid").alias("source_uid"), F.col("doc_id").alias("source_doc_id"))
+    once = once.join(names, "uid").withColumn("source_uid", F.col("s.source_uid")).join(sources, "source_uid")
+    return once.select(
         "doc_id", F.col("start").cast("long").alias("start_word"), (F.col("end") - F.col("start")).cast("long").alias("n_words"),
-        F.col("s.source_doc").alias("source_doc_id"), F.col("s.source_start").cast("long").alias("source_start_word"))
+        "source_doc_id", F.col("s.source_start").cast("long").alias("source_start_word"))
 
 
 def remove(docs: DataFrame) -> DataFrame:
