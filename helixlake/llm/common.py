@@ -88,11 +88,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v")))).where("u != v").distinct()
         following = materialise(small, "cc")
-        a = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        b = following.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        sums = (current.select(F.lit(0).alias("k"), "u", "v").union(following.select(F.lit(1).alias("k"), "u", "v"))
+                .groupBy("k").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect())
+        settled = len(sums) != 1 and len({(r["n"], r["h"]) for r in sums}) < 2
         discard(current)
         current = following
-        if (a["n"], a["h"]) == (b["n"], b["h"]):
+        if settled:
             break
     else:
         raise RuntimeError("connected components did not settle")

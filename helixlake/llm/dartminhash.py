@@ -9,11 +9,13 @@ yields K ln K + 2K darts whatever its size, and of these the earliest for each
 coordinate.  Coordinates of two documents agree with the probability of their
 similarity; ROWS of them form the key of a band.
 
-Documents with equal texts share one vertex.  In each band bucket the members
-are compared with a leader, never with each other; then members of a bucket
-that ended in other components than its main one are compared with all its
-members, so no link between candidates is lost.  Every candidate pair is
-checked by its exact similarity before it links.
+Documents with equal texts share one vertex.  In a band bucket of at most SMALL
+members all are compared; in a larger one each is compared with LEADERS of
+them.  Then the members of a larger bucket that ended in other components than
+its main one are compared with all its members, in blocks of BLOCK by BLOCK
+that send back no pairs but the links which join components.  So no link
+between candidates that joins two components is lost.  Links are decided by the
+exact similarity; the sets that this takes are made once.
 
 Defined results: a text without words (null, empty) is like no other; a text of
 fewer than five words is one shingle; repeated rows are one class; the class id
@@ -28,19 +30,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernels
-from helixlake.llm.common import connected_components, discard, materialise, prepare, text_of
+from helixlake.llm.common import connected_components, materialise, prepare, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8, a pair shares no band with probability (1 - 0.8^4)^20 = 3e-5.
 BANDS, ROWS = 20, 4
-#: Cross-component pairs in buckets, as a multiple of the band rows, that are checked at once; beyond, more leaders come first.
-PAIRS_AT_ONCE = 2.0
-MOST_LEADERS = 8
+#: Buckets compared as a whole, members that all others of a larger bucket are compared with, and members of a block.
+SMALL, LEADERS, BLOCK = 8, 3, 200
+#: Shingles that a block's matrices hold at a time.
+COLUMNS = 20_000
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
 
@@ -155,15 +159,12 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # Rows with equal texts yield one set: the text is picked before Python sees it.
     texts = (docs.select(*text_key(), text_of().alias("text")).join(wanted, ["h1", "h2"])
-             .groupBy("id").agg(F.first("text").alias("text")))
+             .groupBy("h1", "h2").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text"))
     return texts.mapInArrow(run, "id long, set binary")
 
 
-def _verified(docs: DataFrame, vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs(a, b) whose similarity is SIMILARITY or more."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(_shingle_sets(docs, vertices.join(ids, "id").select("h1", "h2", "id")), "near-sets")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -177,64 +178,114 @@ def _verified(docs: DataFrame, vertices: DataFrame, pairs: DataFrame) -> DataFra
 
     joined = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
               .join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y"))
-    out = materialise(joined.mapInArrow(run, "a long, b long"), "near-links")
-    discard(sets)
-    return out
+    return materialise(joined.mapInArrow(run, "a long, b long"), "near-links")
 
 
-def _components(members: DataFrame, links: DataFrame) -> DataFrame:
+def _components(members: DataFrame, found: DataFrame) -> DataFrame:
     """members with the component of each id; an id without links is its own."""
-    found = connected_components(links)
     return members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _leaders() -> list:
+    """Aggregates that pick LEADERS members by as many hashes, the same in all bands."""
+    return [F.min_by(F.struct("id", "size"), F.xxhash64("id", F.lit(i))) for i in range(LEADERS)]
+
+
+def _common(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of each of rows with each of columns."""
+    own = np.concatenate(rows + columns)
+    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(x) for x in rows + columns])
+    values, at, many = np.unique(own, return_inverse=True, return_counts=True)
+    shared = many[at] > 1
+    owner, at = owner[shared], np.unique(at[shared], return_inverse=True)[1]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for c in range(0, int(at.max()) + 1 if len(at) else 0, COLUMNS):
+        part = (at >= c) & (at < c + COLUMNS)
+        table = np.zeros((len(rows) + len(columns), COLUMNS), np.float32)
+        table[owner[part], at[part] - c] = 1
+        out += table[: len(rows)] @ table[len(rows) :].T
+    return out
+
+
+def _joining(strays: DataFrame, mixed: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between strays and all members of their buckets, as far as they join components within a block."""
+    sizes = mixed.select("band", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("across"), F.ceil(F.col("all") / BLOCK).cast("int").alias("down"))
+
+    def dealt(rows: DataFrame, own: str, other: str, mine: str, theirs: str, stray: bool) -> DataFrame:
+        rows = rows.select("band", "id", "component").join(sizes, "band").join(sets, "id")
+        return rows.withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(
+            theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("band", "x", "y", "id", "component", "set", F.lit(stray).alias("stray"))
+
+    both = dealt(strays, "across", "down", "x", "y", True).unionByName(dealt(placed.join(mixed.select("band"), "band", "left_semi"), "down", "across", "y", "x", False))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = frame[frame["stray"]], frame[~frame["stray"]]
+        out: list[tuple[int, int]] = []
+        if len(mine) and len(theirs):
+            p, q = ([np.frombuffer(v, np.uint32) for v in f["set"]] for f in (mine, theirs))
+            common = _common(p, q)
+            total = np.array([len(x) for x in p])[:, None] + np.array([len(x) for x in q])[None]
+            c1, c2 = mine["component"].to_numpy(), theirs["component"].to_numpy()
+            hit = (common >= SIMILARITY * (total - common) - 1e-6) & (c1[:, None] != c2[None])
+            parent: dict[int, int] = {}
+
+            def root(v: int) -> int:
+                while parent.get(v, v) != v:
+                    v = parent[v]
+                return v
+
+            ids1, ids2 = mine["id"].to_numpy(), theirs["id"].to_numpy()
+            for i, j in zip(*np.nonzero(hit)):
+                u, v = root(int(c1[i])), root(int(c2[j]))
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    out.append((int(min(ids1[i], ids2[j])), int(max(ids1[i], ids2[j]))))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return materialise(both.groupBy("band", "x", "y").applyInPandas(run, "a long, b long").distinct(), "near-links")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) of rows(id, size, other, other_size) that can be as like by their sizes."""
+    sizes = F.least("size", "other_size") >= F.greatest("size", "other_size") * SIMILARITY - 1e-9
+    return rows.where((F.col("id") != F.col("other")) & sizes).select(
+        F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, texts, links): the input's rows, its distinct texts as vertices, and verified links between them."""
+    """(rows, texts, components): the input's rows, its distinct texts as vertices, and (id, component) of those with links."""
     prepare(docs.sparkSession)
     rows = _vertices(docs)
     texts = materialise(rows.groupBy("h1", "h2").agg(
         F.min("uid").alias("id"), F.first("size").alias("size"), F.min_by("bands", "uid").alias("bands")), "near-texts")
     buckets = texts.select("id", "size", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("members"), F.min("id").alias("leader")).where("members > 1")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n"), F.array_distinct(F.array(*_leaders())).alias("leaders")).where("n > 1")
     members = materialise(buckets.join(shared, "band"), "near-members")
-    band_rows = members.count()
-    sizes = F.least("size", "leader_size") >= F.greatest("size", "leader_size") * SIMILARITY - 1e-9
-
-    def against(leaders: DataFrame) -> DataFrame:
-        """Pairs of the leaders(band, leader) with the other members of their buckets that can be as like."""
-        led = leaders.join(texts.select(F.col("id").alias("leader"), F.col("size").alias("leader_size")), "leader")
-        return (members.select("band", "id", "size").join(led, "band").where((F.col("id") != F.col("leader")) & sizes)
-                .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
-
-    checked = materialise(against(members.select("band", "leader").distinct()), "near-pairs")
-    found = _verified(docs, texts, checked)
-    for turn in range(1, MOST_LEADERS):
-        placed = materialise(_components(members.select("band", "id", "size"), found), "near-placed")
-        # Buckets that hold more than one component, their main one, and the members outside it.
-        per = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-        main = per.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-        mixed = materialise(main.where("all > most"), "near-mixed")
-        todo = mixed.agg(F.sum(F.col("all") * (F.col("all") - F.col("most")))).first()[0] or 0
+    sets = materialise(_shingle_sets(docs, texts.join(members.select("id").distinct(), "id").select("h1", "h2", "id")), "near-sets")
+    led = members.where(F.col("n") > SMALL).select("id", "size", F.explode("leaders").alias("l")).select(
+        "id", "size", F.col("l.id").alias("other"), F.col("l.size").alias("other_size"))
+    small = members.where(F.col("n") <= SMALL).select("band", "id", "size")
+    whole = small.join(small.select("band", F.col("id").alias("other"), F.col("size").alias("other_size")), "band").where("id < other").drop("band")
+    found = _verified(sets, materialise(_pairs(led.unionByName(whole)), "near-pairs"))
+    members = members.where(F.col("n") > SMALL).select("band", "id", "size")
+    components = materialise(connected_components(found), "near-components")
+    placed = materialise(_components(members, components), "near-placed")
+    # Buckets that hold more than one component, their main one, and the members outside it.
+    per = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    mixed = materialise(main.where("all > most"), "near-mixed")
+    if mixed.limit(1).count():
         strays = placed.join(mixed, "band").where("component != main")
-        if todo <= PAIRS_AT_ONCE * max(band_rows, 1000):
-            break
-        leaders = strays.groupBy("band").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("leader"))
-        fresh = materialise(against(leaders).join(checked, ["a", "b"], "left_anti"), "near-pairs")
-        checked = materialise(checked.union(fresh), "near-pairs")
-        found = materialise(found.union(_verified(docs, texts, fresh)), "near-links")
-    if todo:
-        other = placed.select("band", F.col("id").alias("other"), F.col("size").alias("leader_size"), F.col("component").alias("there"))
-        cross = (strays.join(other, "band").where((F.col("component") != F.col("there")) & sizes)
-                 .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-        fresh = materialise(cross.join(checked, ["a", "b"], "left_anti"), "near-pairs")
-        found = materialise(found.union(_verified(docs, texts, fresh)), "near-links")
-    return rows, texts, found
+        extra = _joining(strays, mixed, placed, sets)
+        if extra.limit(1).count():
+            components = materialise(connected_components(found.union(extra)), "near-components")
+    return rows, texts, components
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size and kept of every row; the kept row has the smallest doc_id of its class."""
-    rows, texts, found = links(docs)
-    placed = _components(texts.select("id", "h1", "h2", "size"), found)
+    rows, texts, components = links(docs)
+    placed = _components(texts.select("id", "h1", "h2", "size"), components)
     joined = rows.select("uid", "doc_id", "h1", "h2").join(placed, ["h1", "h2"])
     # Texts without words are no one's copies: every row is a class.
     joined = materialise(joined.select("uid", "doc_id", "h1", "h2", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("uid")).alias("class")), "near-classes")

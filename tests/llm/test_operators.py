@@ -313,3 +313,21 @@ def test_hash_table():
     keys = np.unique(np.random.RandomState(1).randint(0, 2**62, 5000).astype(np.uint64))
     t = kernels.HashTable(keys)
     assert (t.find(keys) == np.arange(len(keys))).all() and (t.find(keys + np.uint64(1)) == -1).all()
+
+
+def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
+    """A chain of neighbours that are alike while its ends are not, in buckets of many members."""
+    body = prose(160).split()
+    rows = [(i, " ".join(body[:i] + [f"n{j}" for j in range(i)] + body[i:])) for i in range(0, 60, 2)]
+    monkeypatch.setattr(dartminhash, "SMALL", 2)
+    monkeypatch.setattr(dartminhash, "LEADERS", 1)
+    monkeypatch.setattr(dartminhash, "BLOCK", 7)
+    sets = {i: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows if (w := t.split())}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    got = dartminhash.class_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == group
