@@ -4,16 +4,18 @@ Suffixes are kept only at positions that content selects: the minimisers of
 GRAM-word hashes over WINDOW positions.  A passage of MIN_WORDS words that
 occurs twice selects the same positions in both places, the first of them at
 least KEY words before its end.  Kept suffixes are ordered by the hash of their
-first KEY words and, within it, by the key at the next kept position; equal
-neighbours form intervals at these two depths, and every suffix is matched with
-the first suffix, in document order, of each interval it lies in.  Matches on
-one diagonal whose keys touch are joined, and each is extended word by word to
-the left and right; those of MIN_WORDS words or more are repeats.  Only the
-later copy is reported, so the first copy of every passage stays.
-
-Intervals are never expanded into pairs: a suffix has one partner a depth.  So
-where a place repeats several earlier ones that overlap, a few words at the rim
-of the shorter overlap can stay (7 of 45,615 words on the smallest test table).
+first KEY words; equal neighbours form intervals, and every suffix is matched
+with the first suffix, in document order, of its interval.  Matches on one
+diagonal whose keys touch are joined, and each is extended word by word to the
+left and right; those of MIN_WORDS words or more are repeats.  Only the later
+copy is reported, so the first copy of every passage stays.
+
+Intervals are never expanded into pairs: a suffix has one partner, so one that
+agrees in few words more than KEY can hide a longer one.  So where an interval
+has three suffixes or more, and the MIN_WORDS-word windows around one of them
+are not all inside a repeat found, the windows around all of its suffixes are
+hashed, and each window not inside a repeat is matched with the first equal one.
+Every window that occurs at an earlier place thus lies in a repeat.
 
 Defined results: documents are ordered as the table's rows are read; null, empty or short texts have no repeats; repeats within one document count,
 at their later place; repeated rows repeat their whole text; an empty table
@@ -63,7 +65,7 @@ def selected(words: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: i
 
 
 def _suffixes(base: DataFrame) -> DataFrame:
-    """(uid, pos, key, next): the kept suffixes of base(uid, text)."""
+    """(uid, pos, size, key): the kept suffixes of base(uid, text); size is the document's words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.chunks(batch.column(1)):
@@ -73,15 +75,79 @@ def _suffixes(base: DataFrame) -> DataFrame:
                 full = at + KEY <= first[doc + 1]
                 at, doc = at[full], doc[full]
                 key = kernels.span_hashes(words, at, at + KEY)
-                follow = np.zeros(len(at), np.uint64)
-                if len(at):
-                    follow[:-1] = np.where(doc[1:] == doc[:-1], key[1:], np.uint64(0))
                 rows = pa.array(doc + part.first)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), pa.array((at - first[doc]).astype(np.int32)),
-                     pa.array(key.view(np.int64)), pa.array(follow.view(np.int64))], ["uid", "pos", "key", "next"])
+                     pa.array((first[doc + 1] - first[doc]).astype(np.int32)), pa.array(key.view(np.int64))], ["uid", "pos", "size", "key"])
+
+    return base.select("uid", "text").mapInArrow(run, "uid long, pos int, size int, key long")
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and fields of a column of lists of structs."""
+    return column.offsets.to_numpy(), [x.to_numpy() for x in column.values.flatten()]
+
+
+def _inside(start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether each of low to high lies in one of start to end."""
+    order = np.argsort(start, kind="stable")
+    reach = np.concatenate([[-1], np.maximum.accumulate(end[order])])
+    return reach[np.searchsorted(start[order], low, "right")] >= high
+
+
+def _hidden(shared: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key): the intervals with a suffix whose windows are not all inside the repeats found, spans(uid, spans)."""
+    asked = (shared.where("many and (head.uid != uid or head.pos != pos)").groupBy("uid")
+             .agg(F.collect_list(F.struct("pos", "size", "key")).alias("asked")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, (pos, size, key) = _lists(batch.column(0))
+            since, (start, end) = _lists(batch.column(1))
+            out = []
+            for k in range(batch.num_rows):
+                own, known = slice(begin[k], begin[k + 1]), slice(since[k], since[k + 1])
+                low, high = np.maximum(pos[own] - WINDOW + 1, 0), np.minimum(pos[own] + MIN_WORDS, size[own])
+                out.append(key[own][~_inside(start[known], end[known], low, high)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)) if out else [], pa.int64())], ["key"])
 
-    return base.select("uid", "text").mapInArrow(run, "uid long, pos int, key long, next long")
+    return asked.join(spans, "uid", "left").select("asked", "spans").mapInArrow(run, "key long").distinct()
+
+
+def _windows(base: DataFrame, places: DataFrame, spans: DataFrame) -> DataFrame:
+    """(uid, pos, hash, open): the MIN_WORDS-word windows around places(uid, pos); open: not inside a repeat found."""
+    asked = places.groupBy("uid").agg(F.collect_list(F.struct("pos")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, (pos,) = _lists(batch.column(1))
+            since, (start, end) = _lists(batch.column(2))
+            for part in kernels.chunks(batch.column(3)):
+                words, first, _ = part.words()
+                rows, at, free = [], [], []
+                for k in range(part.n):
+                    i, room = part.first + k, first[k + 1] - first[k] - MIN_WORDS + 1
+                    if room <= 0:
+                        continue
+                    own = pos[begin[i] : begin[i + 1]]
+                    edge = np.zeros(room + 1, np.int32)
+                    np.add.at(edge, np.minimum(np.maximum(own - WINDOW + 1, 0), room), 1)
+                    np.add.at(edge, np.minimum(own + 1, room), -1)
+                    here = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                    known = slice(since[i], since[i + 1])
+                    rows.append(np.full(len(here), k))
+                    at.append(here)
+                    free.append(~_inside(start[known], end[known], here, here + MIN_WORDS))
+                if not rows:
+                    continue
+                row, here = np.concatenate(rows), np.concatenate(at)
+                hashes = kernels.span_hashes(words, first[row] + here, first[row] + here + MIN_WORDS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row + part.first)), pa.array(here.astype(np.int32)), pa.array(hashes.view(np.int64)),
+                     pa.array(np.concatenate(free))], ["uid", "pos", "hash", "open"])
+
+    return (asked.join(spans, "uid", "left").join(base.select("uid", "text"), "uid").select("uid", "asked", "spans", "text")
+            .mapInArrow(run, "uid long, pos int, hash long, open boolean"))
 
 
 def _contexts(base: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
@@ -125,20 +191,31 @@ def repeats(base: DataFrame) -> DataFrame:
     prepare(base.sparkSession)
     suffixes = materialise(_suffixes(base), "sparse-suffixes")
     place = F.struct("uid", "pos")
-    common = suffixes.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    shared = materialise(suffixes.join(common, "key"), "sparse-shared")
+    common = suffixes.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = materialise(suffixes.join(common.select("key", "head", (F.col("n") > 2).alias("many")), "key"), "sparse-shared")
     discard(suffixes)
-    # Neighbours that agree to the next kept suffix agree in their keys, too.
-    inner = (shared.where("next != 0").groupBy("key", "next").agg(F.min(place).alias("head"), F.count("*").alias("n"))
-             .where("n > 1").select("key", "next", "head"))
-
-    def pairs(joined: DataFrame) -> DataFrame:
-        other = (F.col("head.uid") != F.col("uid")) | (F.col("head.pos") != F.col("pos"))
-        return joined.where(other).select("uid", "pos", F.col("head.uid").alias("source_uid"), (F.col("pos") - F.col("head.pos")).alias("shift"))
-
-    matched = pairs(shared).union(pairs(shared.drop("head").join(inner, ["key", "next"]))).distinct()
-    runs = materialise(_joined(matched.withColumn("a", F.col("pos")).withColumn("b", F.col("pos") + KEY)), "sparse-runs")
-    discard(shared)
+    found = _grown(base, _pairs(shared, KEY))
+    spans = materialise(found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "sparse-spans")
+    hidden = materialise(_hidden(shared, spans), "sparse-hidden")
+    windows = materialise(_windows(base, shared.where("many").join(hidden, "key").select("uid", "pos"), spans), "sparse-windows")
+    for x in (shared, spans, hidden):
+        discard(x)
+    equal = (windows.groupBy("hash").agg(F.min(place).alias("head"), F.count("*").alias("n"), F.max("open").alias("asked"))
+             .where("n > 1 and asked").select("hash", "head"))
+    found = found.union(_grown(base, _pairs(windows.where("open").join(equal, "hash"), MIN_WORDS)))
+    discard(windows)
+    return found.select("uid", F.col("a").alias("start"), F.col("b").alias("end"), "source_uid", (F.col("a") - F.col("shift")).alias("source_start"))
+
+
+def _pairs(headed: DataFrame, length: int) -> DataFrame:
+    """Matches of length words of headed(uid, pos, head) with their heads."""
+    return headed.where("head.uid != uid or head.pos != pos").select(
+        "uid", F.col("head.uid").alias("source_uid"), (F.col("pos") - F.col("head.pos")).alias("shift"), F.col("pos").alias("a"), (F.col("pos") + length).alias("b"))
+
+
+def _grown(base: DataFrame, matches: DataFrame) -> DataFrame:
+    """(uid, a, b, source_uid, shift): the repeats of MIN_WORDS words or more that contain matches, as far as words agree."""
+    runs = materialise(_joined(matches), "sparse-runs")
     found = None
     for reach in REACHES:
         extended = materialise(_extended(base, runs, reach), "sparse-extended")
@@ -148,8 +225,7 @@ def repeats(base: DataFrame) -> DataFrame:
         discard(runs)
         runs = materialise(_joined(going), "sparse-runs")
     found = found.union(runs.withColumn("more", F.lit(True)).select(*found.columns))
-    return found.where(F.col("b") - F.col("a") >= MIN_WORDS).select(
-        "uid", F.col("a").alias("start"), F.col("b").alias("end"), "source_uid", (F.col("a") - F.col("shift")).alias("source_start"))
+    return found.where(F.col("b") - F.col("a") >= MIN_WORDS).select("uid", "a", "b", "source_uid", "shift")
 
 
 def _joined(matches: DataFrame) -> DataFrame:

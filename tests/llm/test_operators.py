@@ -227,6 +227,27 @@ def test_passages(docs, table, empty):
     assert suffix_dedup.repeat_report(empty).count() == 0
 
 
+def test_short_partner_hides_no_longer_one(spark):
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    texts = []
+    for shared, whole in ((26, 50), (35, 55), (40, 60), (45, 60), (49, 51), (45, 75), (48, 97)):
+        passage = own(whole)
+        at = rng.randint(0, whole - shared)
+        texts += [own(30) + passage[at : at + shared] + own(30), own(20) + passage + own(40), own(rng.randint(0, 40)) + passage + own(rng.randint(0, 40))]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = collections.defaultdict(set)
+    for r in suffix_dedup.repeat_report(table).collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["start_word"] + r["n_words"]))
+    seen, want = set(), collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            if (window := tuple(t[k : k + 50])) in seen:
+                want[i] |= set(range(k, k + 50))
+            seen.add(window)
+    assert len(want) == 7 and got == want
+
+
 def test_every_repeat_selects_a_common_position():
     body = np.array([RNG.getrandbits(63) for _ in range(50)], np.uint64)
     for _ in range(20):
