@@ -6,13 +6,14 @@ node has a Krichevsky-Trofimov estimate from its counts of zeros and ones; the
 weighted probability of a node is half its own block probability plus half the
 product of its children's, and the resulting posterior weights mix the
 estimates of all depths on a decision's path (the path ends at the deepest
-context that was seen MIN_COUNT times).  Texts are lowered (A-Z) and end with a zero byte.
+context that was seen).  Texts are lowered (A-Z) and end with a zero byte.
 
 The counts cover every training text and are summed in Spark, depth by depth:
 children's counts and log probabilities are pre-aggregated into their parents,
 and the weights are pushed back down by joins on the parent's key.  What
 scoring needs travels to the workers in shards of at most SHARD_ROWS rows, by
-the last two context bytes (words: by hash); texts are scored once for each shard.
+the last two context bytes (words: by hash); texts are scored once for each
+shard, and a shard's scores are stored before the next shard is read.
 
 Defined results: null is the empty text (its end is scored); repeated rows get
 equal scores; without training texts every bit has probability one half; an
@@ -35,8 +36,6 @@ from helixlake.llm.langid import key_crc
 
 #: Preceding bytes that a context has at most (6 is the most that fits a key).
 DEPTH = 5
-#: Decisions that a context must have been seen in to be part of a path.
-MIN_COUNT = 2
 #: Nodes, or words, that one shard of the model holds at most; about 40 bytes each in a worker.
 SHARD_ROWS = 3_000_000
 #: Distinct keys a counting task holds before it passes them on.
@@ -150,8 +149,7 @@ def nodes(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             here = here.withColumn("parent", _parent(d)).join(above, "parent").drop("parent")
         above = here.select(F.col("key").alias("parent"), (F.col("sum") + F.col("left") * F.col("own") * kt).alias("sum"),
                             (F.col("left") * (1 - F.col("own"))).alias("left"))
-        often = here if d == 0 else here.where(F.col("n0") + F.col("n1") >= MIN_COUNT)
-        part = often.select(F.lit(d).alias("depth"), "key", (F.col("sum") + F.col("left") * kt).alias("p1"))
+        part = here.select(F.lit(d).alias("depth"), "key", (F.col("sum") + F.col("left") * kt).alias("p1"))
         out = part if out is None else out.unionByName(part)
     out = materialise(out, "ctw-nodes")
     for x in levels.values():
@@ -296,8 +294,13 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, shard_rows: int
                          pa.array(base), pa.array(own)],
                         ["doc_id", "held_out", "h", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
 
-        return docs.select(F.col("doc_id").cast("long"), (~training).alias("held_out"), F.xxhash64("text").alias("h"), "text").mapInArrow(
+        own = docs.select(F.col("doc_id").cast("long"), (~training).alias("held_out"), F.xxhash64("text").alias("h"), "text").mapInArrow(
             run, "doc_id long, held_out boolean, h long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+        if shards == 1:
+            return own
+        own = materialise(own, "ctw-scores")
+        shipped.destroy()  # the driver holds one shard at a time
+        return own
 
     out = scored(0)
     if shards > 1:

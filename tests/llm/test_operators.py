@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixlake.llm import ctw, dartminhash, fingerprint, kernels, langid, line_dedup, mixing, packing, pii, suffix_dedup, vector_dedup
 
@@ -274,6 +276,50 @@ def test_context_tree(docs, table, empty):
     assert ctw.score_report(empty).count() == 0
 
 
+def test_context_tree_mixes_contexts_seen_once(spark):
+    training, held = ["abracadabra", "the cat sat", "zyx"], ["abracad", "a cat", "zyx", "q"]
+    seen: dict = collections.defaultdict(lambda: [0, 0])
+
+    def path(padded: bytes, i: int):
+        for b in range(8):
+            node = 1 << b | padded[i] >> (8 - b)
+            yield [(padded[i - d : i], node) for d in range(ctw.DEPTH + 1)], padded[i] >> (7 - b) & 1
+
+    pad = lambda t: bytes(ctw.DEPTH) + t.encode() + b"\0"
+    for t in training:
+        for i in range(ctw.DEPTH, len(pad(t))):
+            for keys, bit in path(pad(t), i):
+                for key in keys:
+                    seen[key][bit] += 1
+    log_kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.log(math.pi) - math.lgamma(sum(n) + 1)
+    below, weighted, own = collections.defaultdict(float), {}, {}
+    for key in sorted(seen, key=lambda k: -len(k[0])):
+        block, deepest = log_kt(seen[key]), len(key[0]) == ctw.DEPTH
+        weighted[key] = block if deepest else np.logaddexp(block, below[key]) - math.log(2)
+        own[key] = 1.0 if deepest else math.exp(block - math.log(2) - weighted[key])
+        if key[0]:
+            below[key[0][1:], key[1]] += weighted[key]
+    want = []
+    for t in held:
+        total = 0.0
+        for i in range(ctw.DEPTH, len(pad(t))):
+            for keys, bit in path(pad(t), i):
+                p, left, kt = 0.0, 1.0, 0.5
+                for key in keys:
+                    if key not in seen:
+                        break
+                    kt = (seen[key][1] + 0.5) / (sum(seen[key]) + 1)
+                    p, left = p + left * own[key] * kt, left * (1 - own[key])
+                p += left * kt
+                total += math.log10(p if bit else 1 - p)
+        want.append(total)
+    rows = [(i, t) for i, t in enumerate(training + held)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard_rows in (ctw.SHARD_ROWS, 300):
+        got = {r["doc_id"]: r["score"] for r in ctw.score(table, F.col("doc_id") < len(training), shard_rows=shard_rows).collect()}
+        assert np.allclose([got[len(training) + i] for i in range(len(held))], want, atol=1e-4)
+
+
 def test_context_tree_is_a_distribution():
     shard = ctw.Shard(0, 1, np.array([1, 2, 3], np.uint64), np.array([0.2, 0.7, 0.4]), np.zeros(0, np.uint64), np.zeros(0), 0, 0, 0, 2)
     shard.open()
