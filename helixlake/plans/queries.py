@@ -486,14 +486,18 @@ def align_global_unit_cost(spark, d):
     return alignment.align_pairs(_pairs(spark, d), 0, -1, -1).select("molecule_id", "score")
 
 
+def _strands(spark, d):
+    return D.molecules(spark, d).select("molecule_id", F.col("sequence").alias("query"), S.reverse_complement("sequence").alias("target"))
+
+
 @query("align_global_default")
 def align_global_default(spark, d):
-    return alignment.align_pairs(_pairs(spark, d))
+    return alignment.align_pairs(_strands(spark, d))
 
 
 @query("align_local")
 def align_local(spark, d):
-    return alignment.align_pairs(_pairs(spark, d), local=True)
+    return alignment.align_pairs(_strands(spark, d), local=True)
 
 
 @query("gel_bands", f"""WITH {MOL}, {_FRAG} SELECT molecule_id, CAST(size AS BIGINT) AS size, round(82 + (log10(10000) - log10(least(greatest(size, 250), 10000))) / (log10(10000) - log10(250)) * 380, 6) AS y,

@@ -160,6 +160,21 @@ def test_alignment_properties():
         assert got["matches"] - got["mismatches"] - 2 * got["gaps"] == got["score"] == alignment.align(t, q)["score"]
 
 
+def test_alignment_queries_read_whole_molecules(spark, tmp_path):
+    from helixlake.plans import derive, queries
+
+    spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "p_partkey int, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    whole = {r.molecule_id: r.sequence for r in derive.molecules(spark, str(tmp_path)).collect()}
+    for r in queries.align_global_default(spark, str(tmp_path)).collect():
+        other = whole[r.molecule_id][::-1].translate(str.maketrans("ACGT", "TGCA"))
+        assert (r.aligned_query.replace("-", ""), r.aligned_target.replace("-", "")) == (whole[r.molecule_id], other)
+        assert r.score == alignment.align(whole[r.molecule_id], other)["score"]
+    for r in queries.align_local(spark, str(tmp_path)).collect():
+        other = whole[r.molecule_id][::-1].translate(str.maketrans("ACGT", "TGCA"))
+        assert r.score == alignment.align(whole[r.molecule_id], other, local=True)["score"]
+        assert r.aligned_query.replace("-", "") == whole[r.molecule_id][r.query_start - 1 : r.query_end]
+
+
 def test_gel(spark):
     got = gel.ladder_bands(spark, [100, 1000, 10000], 400).collect()
     assert [round(r.y) for r in got] == [342, 212, 82]
