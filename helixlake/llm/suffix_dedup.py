@@ -36,9 +36,10 @@ from helixlake.llm.common import discard, materialise, prepare
 
 #: KEY + WINDOW - 1 <= MIN_WORDS and GRAM <= KEY: no repeat of MIN_WORDS words goes without a common suffix.
 MIN_WORDS, KEY, WINDOW, GRAM = 50, 26, 25, 8
-#: Words compared at either end of a match, and at the ends of those that agreed so far.  A match that goes on
-#: beyond has further common suffixes there, which are matches of their own.
-REACHES = (KEY + WINDOW, 4 * (KEY + WINDOW))
+#: Words compared at either end of a match at first; matches that go on are extended again, twice as far each time.
+REACH = KEY + WINDOW
+#: Bytes of contexts that one Arrow batch holds, about.
+CONTEXT_BYTES = 16_000_000
 
 
 def selected(words: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -162,7 +163,13 @@ def _contexts(base: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
             for part in kernels.chunks(batch.column(2)):
                 words, first, _ = part.words()
                 short = (words >> np.uint64(32)).astype(np.uint32)
-                rows, starts, ends, left, right = [], [], [], [], []
+                rows, starts, ends, left, right, held = [], [], [], [], [], 0
+
+                def out() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
+                         pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["uid", "a", "b", "left", "right"])
+
                 for k in range(part.n):
                     own = short[first[k] : first[k + 1]]
                     for j in range(begin[part.first + k], begin[part.first + k + 1]):
@@ -172,9 +179,11 @@ def _contexts(base: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
                         ends.append(b)
                         left.append(own[max(0, a - reach) : a][::-1].tobytes())
                         right.append(own[b : b + reach].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
-                     pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["uid", "a", "b", "left", "right"])
+                        held += len(left[-1]) + len(right[-1])
+                        if held > CONTEXT_BYTES:
+                            yield out()
+                            rows, starts, ends, left, right, held = [], [], [], [], [], 0
+                yield out()
 
     return asked.join(base.select("uid", "text"), "uid").select("uid", "asked", "text").mapInArrow(
         run, "uid long, a int, b int, left binary, right binary")
@@ -216,15 +225,16 @@ def _pairs(headed: DataFrame, length: int) -> DataFrame:
 def _grown(base: DataFrame, matches: DataFrame) -> DataFrame:
     """(uid, a, b, source_uid, shift): the repeats of MIN_WORDS words or more that contain matches, as far as words agree."""
     runs = materialise(_joined(matches), "sparse-runs")
-    found = None
-    for reach in REACHES:
+    found, reach = None, REACH
+    while True:
         extended = materialise(_extended(base, runs, reach), "sparse-extended")
+        discard(runs)
         whole = extended.where("not more")
         found = whole if found is None else found.union(whole)
         going = extended.where("more")
-        discard(runs)
-        runs = materialise(_joined(going), "sparse-runs")
-    found = found.union(runs.withColumn("more", F.lit(True)).select(*found.columns))
+        if going.isEmpty():
+            break
+        runs, reach = materialise(_joined(going), "sparse-runs"), 2 * reach
     return found.where(F.col("b") - F.col("a") >= MIN_WORDS).select("uid", "a", "b", "source_uid", "shift")
 
 

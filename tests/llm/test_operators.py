@@ -250,6 +250,16 @@ def test_short_partner_hides_no_longer_one(spark):
     assert len(want) == 7 and got == want
 
 
+def test_long_repeat_is_reported_whole(spark):
+    rng = random.Random(12)
+    own = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    passage = own(1000)
+    texts = [own(30) + passage[:600] + own(30), own(20) + passage + own(20), own(10) + passage + own(10)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = [tuple(r[c] for c in ("doc_id", "start_word", "n_words", "source_doc_id", "source_start_word")) for r in suffix_dedup.repeat_report(table).collect()]
+    assert (2, 10, 1000, 1, 20) in got
+
+
 def test_every_repeat_selects_a_common_position():
     body = np.array([RNG.getrandbits(63) for _ in range(50)], np.uint64)
     for _ in range(20):
