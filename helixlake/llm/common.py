@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import gc
+import io
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,23 +15,42 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 #: Rows of a side that may be broadcast; each use states the bytes of a row.
 BROADCAST_ROWS = 200_000
+#: Buckets of a stored table at most; beyond it they grow.
+MOST_BUCKETS = 20_000
+#: Bytes of an Arrow batch that goes to a Python worker; a longer text is a batch alone.
+BATCH_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the session leaves it unset, LOCAL_CHECKPOINT_DIR is used.
+    Where a session on one machine leaves it unset, LOCAL_CHECKPOINT_DIR is used;
+    on a cluster it must be set, as executors can't read each other's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base if base else LOCAL_CHECKPOINT_DIR
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return base or LOCAL_CHECKPOINT_DIR
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package, also when the driver's cwd is elsewhere."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    """Lets Python workers import this package wherever they run, and bounds the batches that they get."""
+    context = spark.sparkContext
+    # Two copies of a batch of texts live in the JVM and in the worker at a time.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if getattr(context, "_helixlake_shipped", False):
+        return
+    root, held = Path(__file__).resolve().parents[2], io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted((root / "helixlake").rglob("*.py")):
+            z.write(path, str(path.relative_to(root)))
+    target = f"{shared_dir(spark)}/helixlake/code-{uuid.uuid4().hex}.zip"
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(target)
+    stream = hadoop.getFileSystem(context._jsc.hadoopConfiguration()).create(hadoop)
+    stream.write(held.getvalue())
+    stream.close()
+    context.addPyFile(target)
+    context._helixlake_shipped = True
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -45,15 +66,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Writes df to the shared folder, dealt by key, and reads it back: joins on key then move only their other side.
+
+    There are as many buckets as shuffle partitions at least (with fewer, Spark deals both sides anew).
+    """
+    spark = df.sparkSession
+    buckets = min(MOST_BUCKETS, max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    table = f"helixlake_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/helixlake/{table}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._helixlake_path, out._helixlake_table = path, table
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Deletes a materialised table that nothing reads any more."""
+    """Deletes a stored table that nothing reads any more."""
     path = getattr(df, "_helixlake_path", None)
     if path:
+        if hasattr(df, "_helixlake_table"):
+            df.sparkSession.sql(f"DROP TABLE {df._helixlake_table}")
         jvm = df.sparkSession.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcasting only if it is seen to have at most limit rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernels
@@ -45,6 +45,8 @@ BANDS, ROWS = 20, 4
 SMALL, LEADERS, BLOCK = 8, 3, 200
 #: Shingles that a block's matrices hold at a time.
 COLUMNS = 20_000
+#: Cells of the plane that darts are thrown into at a time; about 100 bytes each.
+CELLS = 400_000
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
 
@@ -84,8 +86,10 @@ def signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray, k:
             if not len(reach):
                 break
             slabs = np.ceil(limit[d[reach]] * width).astype(np.int64)
-            for a in range(0, len(reach), 200_000):
-                part, many = reach[a : a + 200_000], slabs[a : a + 200_000]
+            # Short texts have many cells a shingle: groups are cut by cells, not by shingles.
+            turn = (np.cumsum(slabs) - 1) // CELLS
+            for a, b in zip(*(np.searchsorted(turn, np.unique(turn), side) for side in ("left", "right"))):
+                part, many = reach[a:b], slabs[a:b]
                 _throw(e, w, d, np.repeat(part, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many),
                        band, low, width, limit, k, best, out)
         todo = todo[np.isinf(best.reshape(n, k)[todo]).any(axis=1)]
@@ -145,7 +149,7 @@ def text_key() -> list:
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set): the sorted 32-bit hashes of each occurrence of each shingle, for the wanted (h1, h2, id)."""
+    """(id, set): the sorted 32-bit hashes of each occurrence of each shingle, for the wanted (doc_id, h1, h2, id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.chunks(batch.column(1)):
@@ -157,12 +161,18 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [np.sort(flat[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), pa.array(sets, pa.binary())], ["id", "set"])
 
-    # Rows with equal texts yield one set: the text is picked before Python sees it.
-    texts = (docs.select(*text_key(), text_of().alias("text")).join(wanted, ["h1", "h2"])
-             .groupBy("h1", "h2").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text"))
+    # Of rows with equal texts one yields the set: the join is on its doc_id too, so copies don't meet in one task.
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), text_of().alias("text"))
+             .select(_row_key(), "text").join(wanted.select(_row_key(), "id"), "row_key")
+             .groupBy("id").agg(F.first("text").alias("text")).select("id", "text"))
     return texts.mapInArrow(run, "id long, set binary")
 
 
+def _row_key() -> Column:
+    """A digest of doc_id and text hashes: rows that agree in it agree in all three."""
+    return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "h1", "h2"), 256).alias("row_key")
+
+
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs(a, b) whose similarity is SIMILARITY or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +267,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     prepare(docs.sparkSession)
     rows = _vertices(docs)
     texts = materialise(rows.groupBy("h1", "h2").agg(
-        F.min("uid").alias("id"), F.first("size").alias("size"), F.min_by("bands", "uid").alias("bands")), "near-texts")
+        F.min("uid").alias("id"), F.min_by("doc_id", "uid").alias("doc_id"), F.first("size").alias("size"), F.min_by("bands", "uid").alias("bands")), "near-texts")
     buckets = texts.select("id", "size", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count("*").alias("n"), F.array_distinct(F.array(*_leaders())).alias("leaders")).where("n > 1")
     members = materialise(buckets.join(shared, "band"), "near-members")
-    sets = materialise(_shingle_sets(docs, texts.join(members.select("id").distinct(), "id").select("h1", "h2", "id")), "near-sets")
+    sets = materialise(_shingle_sets(docs, texts.join(members.select("id").distinct(), "id").select("doc_id", "h1", "h2", "id")), "near-sets")
     led = members.where(F.col("n") > SMALL).select("id", "size", F.explode("leaders").alias("l")).select(
         "id", "size", F.col("l.id").alias("other"), F.col("l.size").alias("other_size"))
     small = members.where(F.col("n") <= SMALL).select("band", "id", "size")
@@ -290,7 +300,8 @@ def classes(docs: DataFrame) -> DataFrame:
     # Texts without words are no one's copies: every row is a class.
     joined = materialise(joined.select("uid", "doc_id", "h1", "h2", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("uid")).alias("class")), "near-classes")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    heads = joined.groupBy("class").agg(F.min(rank).alias("head"), F.count("*").alias("class_size"))
+    # Stored first, so that a class which holds a third of all rows can be split in the join.
+    heads = materialise(joined.groupBy("class").agg(F.min(rank).alias("head"), F.count("*").alias("class_size")), "near-heads")
     return joined.join(heads, "class").select("doc_id", F.col("head.doc_id").alias("class_id"), "class_size",
                                               (F.col("uid") == F.col("head.uid")).alias("kept"), "h1", "h2")
 
@@ -302,10 +313,10 @@ def class_report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs for each class, with its columns; texts without words all stay."""
     columns = docs.columns
-    kept = classes(docs).where("kept").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("doc_id").alias("_d")).distinct()
-    h1, h2 = text_key()
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), h1.alias("_k1"), h2.alias("_k2"),
+    kept = classes(docs).where("kept").select(_row_key()).distinct()
+    # A row is met by doc_id and text together, so copies of one text don't meet in one task.
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), *text_key(),
                        F.regexp_like(text_of(), F.lit(r"[^\x20\x09-\x0D]")).alias("_words"))
-    rows = rows.join(kept, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")) & F.col("_doc").eqNullSafe(F.col("_d")), "left_semi")
-    full = rows.where("_words").groupBy("_k1", "_k2").agg(F.first("_row").alias("_row")).select("_row.*")
+    rows = rows.select("_row", _row_key(), "_words").join(kept, "row_key", "left_semi")
+    full = rows.where("_words").groupBy("row_key").agg(F.first("_row").alias("_row")).select("_row.*")
     return full.unionByName(rows.where("not _words").select("_row.*"))

@@ -86,16 +86,17 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    _, where, raw = column.buffers()
-    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(size)])
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        yield Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + limit, "right")) - 1)
+        # Only this group's bytes are copied, not the batch's.
+        own = pc.fill_null(column.slice(i, j - i), "").cast(pa.large_string())
+        _, where, raw = own.buffers()
+        offsets = np.frombuffer(where, np.int64)[own.offset : own.offset + len(own) + 1]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        yield Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0], i)
         i = j
 
 
