@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,13 +39,40 @@ def places(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, where x is worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def running_sums(values: Column, first: int = 0) -> Column:
+    """first, and first plus the sum of each prefix of an array of ints: one entry more than values.
+
+    A fold that appends copies what it has, so long arrays are folded in blocks
+    of about the root of their length, and the blocks' sums once more.
+    """
+    def fold(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def blocked(xs: Column) -> Column:
+        def in_blocks(b: Column) -> Column:
+            own = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / b).cast("int")),
+                              lambda i: F.slice(fold(F.slice(xs, i * b + 1, b), F.lit(0)), F.lit(2), b))
+            return bound(own, lambda parts: bound(
+                fold(F.transform(parts, lambda p: F.element_at(p, -1)), F.lit(first)),
+                lambda bases: F.concat(F.array(F.lit(first)), F.flatten(F.zip_with(
+                    parts, F.slice(bases, F.lit(1), F.size(parts)), lambda p, o: F.transform(p, lambda v: v + o))))))
+
+        return bound(F.ceil(F.sqrt(F.size(xs))).cast("int"), in_blocks)
+
+    return bound(values, lambda xs: F.when(F.size(xs) <= 64, fold(xs, F.lit(first))).otherwise(blocked(xs)))
+
+
 def occurrences(seq: Column | str, motif: Column | str) -> Column:
     """All starts of motif, overlapping ones too, in one pass of a regular expression over the text."""
     seq, motif = _c(seq), _c(motif)
     lengths = F.transform(F.split(seq, F.concat(F.lit("(?="), motif, F.lit(")")), -1), F.length)
-    starts = F.aggregate(F.slice(lengths, F.lit(1), F.size(lengths) - 1), F.array(F.lit(1)),
-                         lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    return F.when(F.startswith(seq, motif), starts).otherwise(F.slice(starts, F.lit(2), F.size(starts)))
+    starts = bound(lengths, lambda own: running_sums(F.slice(own, F.lit(1), F.size(own) - 1), 1))
+    return bound(starts, lambda own: F.when(F.startswith(seq, motif), own).otherwise(F.slice(own, F.lit(2), F.size(own))))
 
 
 def ambiguous_total(seq: Column | str) -> Column:

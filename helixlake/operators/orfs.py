@@ -51,7 +51,7 @@ def find_orfs(molecules: DataFrame, min_aa: int = 30, strands: Sequence[str] = (
 
 def _with_base(pieces: Column) -> Column:
     """The pieces with the number of codons, stops included, before each."""
-    before = F.aggregate(F.transform(pieces, F.length), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n + 1)))
+    before = S.running_sums(F.transform(pieces, lambda p: F.length(p) + 1))
     return F.arrays_zip(pieces.alias("piece"), F.slice(before, F.lit(1), F.size(pieces)).alias("base"))
 
 
