@@ -46,8 +46,10 @@ def molecule_fields(molecules: DataFrame) -> DataFrame:
     rules = [
         ("topology", F.col("topology").isin("linear", "circular")), ("moleculeType", F.col("molecule_type").isin("dna", "rna", "protein")),
         ("alphabet", F.col("alphabet").isin("iupac_dna", "iupac_rna", "protein")), ("sequenceDigest", F.col("digest").rlike("^sha256:[0-9a-f]{64}$")),
-        ("length", F.col("length") >= 1), ("path", ~F.col("path").rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)|\\") & (F.col("path") != "")),
+        ("length", F.col("length") >= 1), ("id", F.col("molecule_id") != ""), ("name", F.col("name") != ""),
     ]
+    if "path" in molecules.columns:
+        rules.append(("path", ~F.col("path").rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)|\\") & (F.col("path") != "")))
     found = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]))
     return molecules.select("molecule_id", F.explode(found).alias("field")).select(
         F.concat(F.lit("molecules."), F.col("molecule_id").cast("string"), F.lit("."), "field").alias("path"),
@@ -61,3 +63,49 @@ def alphabet_issues(molecules: DataFrame) -> DataFrame:
     dna, rna, protein = (S.first_invalid("sequence", a) for a in (K.DNA, K.RNA, K.PROTEIN))
     at = F.when(F.col("molecule_type") == "rna", rna).when(F.col("molecule_type") == "protein", protein).otherwise(dna)
     return molecules.select("molecule_id", at.cast("long").alias("index")).where("index is not null").withColumn("code", F.lit("ALPHABET_MISMATCH"))
+
+
+def _fields(rows: DataFrame, table: str, key: str, rules: list[tuple[str, str, Column]]) -> DataFrame:
+    """An issue (path, code, message) for each (field, code) whose rule is not true."""
+    found = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"))) for field, code, ok in rules]))
+    return rows.select(F.col(key).alias("key"), F.explode(found).alias("x")).select(
+        F.concat(F.lit(f"{table}."), F.coalesce("key", F.lit("")), F.lit("."), "x.field").alias("path"), F.col("x.code").alias("code"),
+        F.concat(F.lit("Invalid "), "x.field").alias("message"))
+
+
+def _given(*names: str) -> list[tuple[str, str, Column]]:
+    return [(n, "VALIDATION_ERROR", F.col(n) != "") for n in names]
+
+
+def feature_fields(features: DataFrame) -> DataFrame:
+    """Issues of features: ids, name and type are given, and there is a segment."""
+    return _fields(features, "features", "feature_id", [*_given("feature_id", "molecule_id", "name", "type"), ("segments", "VALIDATION_ERROR", F.size("segments") > 0)])
+
+
+def _spelled(text: str, alphabet: str) -> Column:
+    return F.upper(text).rlike("^[" + alphabet.replace("*", r"\*") + "]+$")
+
+
+def primer_fields(primers: DataFrame, molecules: DataFrame) -> DataFrame:
+    """Issues of primers: the letters are those of the molecule's type (DNA without one); a binding needs a molecule."""
+    kinds = molecules.select(F.col("molecule_id").alias("_id"), "molecule_type")
+    rows = primers.join(kinds, F.col("molecule_id") == F.col("_id"), "left")
+    kind = F.col("molecule_type")
+    letters = F.when(kind == "rna", _spelled("sequence", K.RNA)).when(kind == "protein", _spelled("sequence", K.PROTEIN)).otherwise(_spelled("sequence", K.DNA))
+    bound = F.size(F.coalesce("segments", F.array())) == 0
+    return _fields(rows, "primers", "primer_id", [*_given("primer_id", "name", "sequence"), ("sequence", "ALPHABET_MISMATCH", letters), ("segments", "VALIDATION_ERROR", bound | kind.isNotNull())])
+
+
+def guide_fields(guides: DataFrame, molecules: DataFrame) -> DataFrame:
+    """Issues of guides: strand, letters, places inside a DNA molecule in order, and the figures of their filters if they are there."""
+    own = molecules.select(F.col("molecule_id").alias("_id"), "molecule_type", F.length("sequence").alias("_n"))
+    rows = guides.join(own, F.col("molecule_id") == F.col("_id"), "left")
+    inside = lambda c: F.col("_id").isNull() | F.col(c).between(1, F.col("_n"))
+    absent = lambda c, ok: F.col(c).isNull() | ok
+    return _fields(rows, "guides", "guide_id", [
+        *_given("guide_id", "molecule_id", "name"), ("sequence", "ALPHABET_MISMATCH", _spelled("sequence", K.DNA)), ("pam", "ALPHABET_MISMATCH", _spelled("pam", K.DNA)),
+        ("molecule_id", "ALPHABET_MISMATCH", F.col("_id").isNull() | (F.col("molecule_type") == "dna")), ("strand", "VALIDATION_ERROR", F.col("strand").isin("+", "-")),
+        ("start", "COORDINATE_OUT_OF_RANGE", inside("start") & (F.col("start") <= F.col("end"))), ("end", "COORDINATE_OUT_OF_RANGE", inside("end")),
+        ("pam_start", "COORDINATE_OUT_OF_RANGE", absent("pam_start", inside("pam_start") & (F.col("pam_start") <= F.col("pam_end")))),
+        ("pam_end", "COORDINATE_OUT_OF_RANGE", absent("pam_end", inside("pam_end"))), ("gc_percent", "VALIDATION_ERROR", absent("gc_percent", F.col("gc_percent").between(0, 100))),
+        ("seed_run", "VALIDATION_ERROR", absent("seed_run", F.col("seed_run") >= 0)), ("off_targets", "VALIDATION_ERROR", absent("off_targets", F.col("off_targets") >= 0))])

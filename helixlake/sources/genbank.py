@@ -43,11 +43,14 @@ def location(text: str) -> list[dict[str, Any]]:
 def location_column(text: Column) -> Column:
     """The same as a Column; null for locations that are not supported."""
     body = F.regexp_replace(text, r"\s+", "")
-    ok = body.rlike(r"^(?:complement\()?(?:join\()?\d+(?:\.\.\d+)?(?:,\d+(?:\.\.\d+)?)*\)*$")
+    spans = r"\d+(?:\.\.\d+)?(?:,\d+(?:\.\.\d+)?)*"
+    whole = rf"(?:{spans}|join\({spans}\))"
+    ok = body.rlike(rf"^(?:{whole}|complement\({whole}\))$")
     strand = F.when(F.startswith(body, F.lit("complement(")), "-").otherwise("+")
     segments = F.transform(F.regexp_extract_all(body, F.lit(r"\d+(?:\.\.\d+)?"), F.lit(0)), lambda x: F.struct(
         F.substring_index(x, "..", 1).cast("long").alias("start"), F.substring_index(x, "..", -1).cast("long").alias("end"), strand.alias("strand")))
-    return F.when(ok, segments)
+    fine = F.forall(segments, lambda s: (s["start"] >= 1) & (s["start"] <= s["end"]))
+    return F.when(ok & fine, segments)
 
 
 def parse_record(text: str) -> dict[str, Any]:

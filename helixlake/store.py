@@ -22,10 +22,12 @@ SCHEMAS = {
     "molecules": "molecule_id string, name string, topology string, molecule_type string, alphabet string, sequence string, length long, digest string, description string",
     "features": f"feature_id string, molecule_id string, name string, type string, segments {_SEGMENTS}, qualifiers map<string,array<string>>, source string",
     "primers": f"primer_id string, molecule_id string, name string, sequence string, segments {_SEGMENTS}",
-    "guides": "guide_id string, molecule_id string, name string, sequence string, pam string, strand string, start long, end long",
+    "guides": "guide_id string, molecule_id string, name string, sequence string, pam string, strand string, start long, end long, pam_start long, pam_end long, gc_percent double, seed_run long, off_targets long, failures array<string>",
 }
 KEYS = {"molecules": "molecule_id", "features": "feature_id", "primers": "primer_id", "guides": "guide_id"}
 Tables = dict[str, DataFrame]
+#: A lock this old was left by a writer that did not end its write.
+STALE_SECONDS = 3600.0
 
 
 class Workspace:
@@ -68,13 +70,18 @@ class Workspace:
                 lock.mkdir()
                 break
             except FileExistsError:
+                with contextlib.suppress(FileNotFoundError):
+                    if time.time() - lock.stat().st_mtime > STALE_SECONDS:  # its writer is gone
+                        lock.rename(lock.with_name(f".lock.{os.getpid()}.{time.time_ns()}"))
+                        continue
                 if time.time() > until:
                     raise MoleculeError("WORKSPACE_LOCKED", "Another write holds the lock.", path=str(self.path)) from None
                 time.sleep(0.01)
         try:
             yield
         finally:
-            lock.rmdir()
+            with contextlib.suppress(FileNotFoundError):
+                lock.rmdir()
 
     def transact(self, expected: int, change: Callable[[Tables], Tables]) -> int:
         """Applies change to the tables of the expected revision; returns the new revision."""
@@ -107,7 +114,7 @@ class Workspace:
             gone = self.spark.createDataFrame([(i,) for i in ids], f"{key} string")
             missing = gone.join(t[table], key, "left_anti").limit(1).collect()
             if missing:
-                raise MoleculeError("FEATURE_NOT_FOUND" if table == "features" else "NOT_FOUND", "No such row.", id=missing[0][0])
+                raise MoleculeError(f"{table[:-1].upper()}_NOT_FOUND", "No such row.", id=missing[0][0])
             return {table: t[table].join(gone, key, "left_anti")}
 
         return self.transact(expected, change)
@@ -116,7 +123,7 @@ class Workspace:
 def _columns(table: str) -> list[str]:
     import re
 
-    return re.split(r", (?=\w+ (?:string|long|array|map))", SCHEMAS[table])
+    return re.split(r", (?=\w+ (?:string|long|double|array|map))", SCHEMAS[table])
 
 
 def _same(a: DataFrame, b: DataFrame) -> bool:
@@ -142,8 +149,16 @@ def issues(tables: Tables) -> DataFrame:
         if name != "molecules":
             lost = validation.dangling(tables[name].where("molecule_id is not null"), tables["molecules"])
             add(lost, F.concat(F.lit(f"{name}."), F.col(key)), "MOLECULE_NOT_FOUND", "Refers to a molecule that isn't there.")
-    bad = validation.invalid_segments(tables["features"], tables["molecules"])
-    add(bad, F.concat(F.lit("features."), F.col("feature_id")), "COORDINATE_OUT_OF_RANGE", "Segment is invalid.")
+    for name in ("features", "primers"):
+        key = KEYS[name]
+        rows = tables[name].where(F.size(F.coalesce("segments", F.array())) > 0).select("molecule_id", F.col(key).alias("feature_id"), "segments")
+        bad = validation.invalid_segments(rows, tables["molecules"])
+        out = out.union(bad.select(F.concat(F.lit(f"{name}."), F.col("feature_id")).alias("path"), "code", F.lit("Segment is invalid.").alias("message")))
+    for part in (validation.molecule_fields(tables["molecules"]), validation.feature_fields(tables["features"]),
+                 validation.primer_fields(tables["primers"], tables["molecules"]), validation.guide_fields(tables["guides"], tables["molecules"])):
+        out = out.union(part)
+    letters = validation.alphabet_issues(tables["molecules"])
+    add(letters, F.concat(F.lit("molecules."), F.col("molecule_id")), "ALPHABET_MISMATCH", "A letter is outside the alphabet.")
     wrong = validation.digest_mismatches(tables["molecules"])
     add(wrong, F.concat(F.lit("molecules."), F.col("molecule_id")), "DIGEST_MISMATCH", "Length or digest differs from the sequence.")
     return out

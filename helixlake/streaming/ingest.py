@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from helixlake.errors import MoleculeError
 from helixlake.functions import sequence as S
 from helixlake.functions import text as X
 from helixlake.sources import fasta
@@ -20,10 +21,23 @@ def molecules(records: DataFrame) -> DataFrame:
                        S.digest("sequence").alias("digest"), F.lit(None).cast("string").alias("description")).dropDuplicates(["molecule_id"])
 
 
-def ingest(spark: SparkSession, source: str, workspace: Workspace, checkpoint: str) -> StreamingQuery:
-    """Starts a query that commits the records of new files of source; stops when there are no more."""
-    def commit(batch: DataFrame, _: int) -> None:
-        rows = molecules(fasta.parse(batch)[0])
+def ingest(spark: SparkSession, source: str, workspace: Workspace, checkpoint: str, rejected: str | None = None) -> StreamingQuery:
+    """Starts a query that commits the records of new files of source; stops when there are no more.
+
+    A file with an error gives none of its records; its errors (path, code,
+    message) are written to the folder rejected, or raised if there is none.
+    """
+    def commit(batch: DataFrame, number: int) -> None:
+        records, errors = fasta.parse(batch)
+        errors = errors.persist()
+        first = errors.orderBy("path", "message").first()
+        if first is not None:
+            if rejected is None:
+                raise MoleculeError(first["code"], first["message"], path=first["path"])
+            errors.write.mode("overwrite").json(f"{rejected}/batch={number}")
+            records = records.join(errors.select("path").distinct(), "path", "left_anti")
+        errors.unpersist()
+        rows = molecules(records)
         known = workspace.read()["molecules"].select("molecule_id")
         fresh = rows.join(known, "molecule_id", "left_anti")
         if not fresh.isEmpty():  # a batch that is replayed after a failure finds its rows there
