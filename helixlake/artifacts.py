@@ -50,37 +50,126 @@ def gel_svg(lanes: Mapping[str, Iterable[int]], ladder: Iterable[int] = tuple(K.
     return "\n".join([*parts, "</svg>", ""])
 
 
-def map_svg(name: str, length: int, features: Iterable[Mapping[str, Any]], width: int = 720, height: int = 560) -> str:
-    """A circular map: arcs of features by colour, position 1 at the top, clockwise; source features are left out."""
-    cx, cy, radius = width / 2, height / 2, min(width, height) * 0.32
-    at = lambda p: (cx + radius * math.cos(math.radians((p - 1) * 360 / length - 90)), cy + radius * math.sin(math.radians((p - 1) * 360 / length - 90)))
-    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">',
-             f'<circle cx="{number(cx)}" cy="{number(cy)}" r="{number(radius)}" fill="none" stroke="#333"/>', f'<text x="{number(cx)}" y="{number(cy)}">{html.escape(name)} {length} bp</text>']
-    order = sorted((f for f in features if f["type"] != "source"), key=lambda f: (f["start"], f["end"], f["name"]))
-    for f in order:
-        span = (f["end"] - f["start"]) % length + 1
-        (a, b), (c, d) = at(f["start"]), at((f["start"] - 1 + span) % length + 1)
+class _Ring:
+    """Places on circles round a point: position 1 at the top, clockwise."""
+
+    def __init__(self, x: float, y: float, length: int):
+        self.x, self.y, self.length = x, y, length
+
+    def at(self, radius: float, position: float) -> tuple[float, float]:
+        turn = math.radians((position - 1) * 360 / self.length - 90)
+        return self.x + radius * math.cos(turn), self.y + radius * math.sin(turn)
+
+    def span(self, start: int, end: int) -> int:
+        return (end - start) % self.length + 1
+
+    def middle(self, start: int, end: int) -> float:
+        if start <= end:
+            return (start + end + 1) / 2
+        return (start - 1 + self.span(start, end) / 2) % self.length + 1
+
+    def arc(self, radius: float, start: int, end: int, back: bool = False) -> str:
+        """A path along start to end, or from end to start."""
+        after = end % self.length + 1
+        (a, b), (c, d) = (self.at(radius, p) for p in ((after, start) if back else (start, after)))
+        large = int(self.span(start, end) > self.length / 2)
+        return f"M {number(a)} {number(b)} A {number(radius)} {number(radius)} 0 {large} {int(not back)} {number(c)} {number(d)}"
+
+    def line(self, inner: float, outer: float, position: float, color: str, width: int, title: str = "") -> str:
+        (a, b), (c, d) = self.at(inner, position), self.at(outer, position)
+        ends = f'<line x1="{number(a)}" y1="{number(b)}" x2="{number(c)}" y2="{number(d)}" stroke="{color}" stroke-width="{width}"'
+        return f"{ends}><title>{html.escape(title)}</title></line>" if title else f"{ends}/>"
+
+    def text(self, radius: float, position: float, words: str, kind: str = "label") -> str:
+        x, y = self.at(radius, position)
+        anchor = "end" if x < self.x - 8 else "start" if x > self.x + 8 else "middle"
+        return f'<text class="{kind}" x="{number(x)}" y="{number(y)}" text-anchor="{anchor}" dominant-baseline="middle">{html.escape(words)}</text>'
+
+
+def _cut_sites(sites: Iterable[Mapping[str, Any]], length: int) -> list[tuple[int, str]]:
+    out = []
+    for s in sites:
+        position, enzyme = s.get("position"), s.get("enzyme")
+        if not isinstance(enzyme, str) or not enzyme or not isinstance(position, int) or isinstance(position, bool) or not 1 <= position <= length:
+            raise MoleculeError("INVALID_ARGUMENT", "Cut sites need an enzyme and a position in the molecule.", cutSite=dict(s))
+        out.append((position, enzyme))
+    return sorted(out)
+
+
+def map_svg(name: str, length: int, features: Iterable[Mapping[str, Any]], primers: Iterable[Mapping[str, Any]] = (), guides: Iterable[Mapping[str, Any]] = (),
+            cut_sites: Iterable[Mapping[str, Any]] = (), width: int = 720, height: int = 560, id: str = "") -> str:
+    """A circular map: an arc for each segment of a feature and one staggered label, arrows of bound primers and guides, ticks of PAMs and cut sites.
+
+    features(id, name, type, segments) other than source; primers(id, name, segments); guides(id, name,
+    sequence, pam, strand, start, end, pam_start, pam_end); cut_sites(enzyme, position).
+    """
+    ring, radius = _Ring(width / 2, height / 2, length), min(width, height) * 0.31
+    first = lambda f: min(s["start"] for s in f["segments"])
+    order = sorted((f for f in features if f["type"] != "source" and f["segments"]), key=lambda f: (first(f), min(s["end"] for s in f["segments"]), f["id"]))
+    marks, lines, words = [], [], []
+    for i, f in enumerate(order):
         color = K.FEATURE_COLORS.get(f["type"], K.DEFAULT_COLOR)
-        parts.append(f'<path d="M {number(a)} {number(b)} A {number(radius)} {number(radius)} 0 {int(span > length / 2)} 1 {number(c)} {number(d)}" fill="none" '
-                     f'stroke="{color}" stroke-width="10"><title>{html.escape(f["name"])}</title></path>')
-    return "\n".join([*parts, "</svg>", ""])
+        marks += [f'<path d="{ring.arc(radius + 10, s["start"], s["end"])}" fill="none" stroke="{color}" stroke-width="10" stroke-linecap="round"><title>{html.escape(f["name"])}</title></path>'
+                  for s in f["segments"]]
+        anchor = min(f["segments"], key=lambda s: (s["start"], s["end"]))
+        middle, out = ring.middle(anchor["start"], anchor["end"]), radius + 58 + i % 4 * 18
+        words += [ring.line(radius + 18, out, middle, "#8b9692", 1), ring.text(out, middle, f["name"])]
+
+    def arrow(at: float, start: int, end: int, minus: bool, kind: str, title: str) -> str:
+        side = "reverse" if minus else "forward"
+        return (f'<path d="{ring.arc(at, start, end, minus)}" fill="none" stroke="{_ARROWS[kind, side]}" stroke-width="5" stroke-linecap="round" '
+                f'marker-end="url(#{kind}-{side})"><title>{html.escape(title)}</title></path>')
+
+    for i, p in enumerate(sorted((p for p in primers if p.get("segments")), key=lambda p: (p["name"], p["id"]))):
+        for j, s in enumerate(p["segments"]):
+            title = p["name"] if j == 0 else f"{p['name']} {j + 1}"
+            marks.append(arrow(radius - 13 - i % 3 * 7, s["start"], s["end"], s["strand"] == "-", "primer", title))
+            words.append(ring.text(radius - 39 - i % 3 * 10, ring.middle(s["start"], s["end"]), title, "primer-label"))
+    for i, g in enumerate(sorted(guides, key=lambda g: (g["start"], g["end"], g["id"]))):
+        minus = g["strand"] == "-"
+        marks.append(arrow(radius - 34 - i % 3 * 7, g["start"], g["end"], minus, "guide", f"{g['name']} {g['sequence']} {g['pam']}"))
+        pam = g.get("pam_end") if minus else g.get("pam_start")
+        if pam:
+            lines.append(ring.line(radius - 46, radius - 22, pam, _ARROWS["guide", "reverse" if minus else "forward"], 2, f"{g['name']} PAM {g['pam']}"))
+        words.append(ring.text(radius - 78 - i % 3 * 12, ring.middle(g["start"], g["end"]), g["name"], "guide-label"))
+    for i, (position, enzyme) in enumerate(_cut_sites(cut_sites, length)):
+        lines += [ring.line(radius - 11, radius + 22, position, "#263238", 2, f"{enzyme} cut at {position}"), ring.text(radius + 78 + i % 5 * 14, position, enzyme, "cut-label")]
+    heads = [f'<marker id="{kind}-{side}" markerWidth="8" markerHeight="8" refX="6" refY="4" orient="auto" markerUnits="strokeWidth"><path d="M 0 0 L 8 4 L 0 8 z" fill="{color}"/></marker>'
+             for (kind, side), color in _ARROWS.items()]
+    middle = lambda y, body: f'<text x="{number(ring.x)}" y="{number(ring.y + y)}" text-anchor="middle">{html.escape(body)}</text>'
+    return "\n".join([
+        f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}" role="img" aria-label="{html.escape(name)} plasmid map">',
+        "<defs>", *heads, "</defs>", '<rect width="100%" height="100%" fill="#ffffff"/>',
+        f'<circle cx="{number(ring.x)}" cy="{number(ring.y)}" r="{number(radius)}" fill="none" stroke="#c9d3d0" stroke-width="9"/>',
+        *marks, *lines, middle(-8, name), middle(14, f"{length} bp circular DNA"), *([middle(34, id)] if id else []), *words, "</svg>", ""])
+
+
+# Colours of primer and guide arrows by strand.
+_ARROWS = {("primer", "forward"): "#1976D2", ("primer", "reverse"): "#D32F2F", ("guide", "forward"): "#00897B", ("guide", "reverse"): "#7B1FA2"}
 
 
 def guide_report(guides: Mapping[str, Mapping[str, Any]], wanted: list[str]) -> str:
-    """A Markdown table of guides in the order asked for, 25 at most."""
-    if len(set(wanted)) != len(wanted):
-        raise MoleculeError("INVALID_ARGUMENT", "Guides are asked for twice.")
+    """A Markdown report of guides in the order asked for, 25 at most: a table, then what is known of each."""
+    if not wanted or len(set(wanted)) != len(wanted):
+        raise MoleculeError("INVALID_ARGUMENT", "Guides are asked for at least once and not twice.")
     missing = [i for i in wanted if i not in guides]
     if missing:
         raise MoleculeError("GUIDE_NOT_FOUND", "No such guide.", ids=missing)
     cell = lambda v: str(v).replace("\\", "\\\\").replace("|", "\\|")
-    head = ["guide_id", "sequence", "pam", "strand", "start", "end", "gc_percent", "off_targets"]
-    lines = ["| " + " | ".join(head) + " |", "|" + "-|" * len(head)]
-    for i in wanted[: K.MAX_REPORT_GUIDES]:
-        g = {"guide_id": i} | dict(guides[i])
-        lines.append("| " + " | ".join(cell(number(g[h], 2) if isinstance(g[h], float) else g[h]) for h in head) + " |")
-    if len(wanted) > K.MAX_REPORT_GUIDES:
-        lines.append(f"\n{len(wanted) - K.MAX_REPORT_GUIDES} more are not shown.")
+    known = lambda v, digits=2: "-" if v is None else number(v, digits) if isinstance(v, float) else str(v)
+    shown = [{"guide_id": i} | dict(guides[i]) for i in wanted[: K.MAX_REPORT_GUIDES]]
+    lines = ["# Guide RNAs", ""]
+    if len(wanted) > len(shown):
+        lines += [f"{len(shown)} of {len(wanted)} guides are shown.", ""]
+    head = ["guide", "molecule", "strand", "coordinates", "pam", "gc_percent", "filters", "off_targets"]
+    lines += ["| " + " | ".join(head) + " |", "|" + "-|" * len(head)]
+    for g in shown:
+        row = [g["name"], g["molecule_id"], g["strand"], f"{g['start']}..{g['end']}", g["pam"], known(g["gc_percent"]), ", ".join(g.get("failures") or []) or "pass", known(g["off_targets"])]
+        lines.append("| " + " | ".join(map(cell, row)) + " |")
+    for g in shown:
+        lines += ["", f"## {g['guide_id']}", "", f"- sequence: {g['sequence']}", f"- protospacer: {g['start']}..{g['end']} ({g['strand']})",
+                  f"- PAM: {g['pam']} at {known(g.get('pam_start'))}..{known(g.get('pam_end'))}", f"- longest run in the seed: {known(g.get('seed_run'))}",
+                  "- off-targets are counted in the workspace's molecules"]
     return "\n".join([*lines, ""])
 
 
@@ -91,9 +180,11 @@ def protein_fasta(name: str, amino_acids: str) -> str:
     return "\n".join([f">{safe}", *(own[i : i + 60] for i in range(0, len(own), 60)), ""])
 
 
-def archive(files: Mapping[str, bytes]) -> bytes:
-    """A ZIP of stored files with a fixed date, so equal files give equal bytes; a manifest lists their digests."""
-    manifest = {k: "sha256:" + hashlib.sha256(v).hexdigest() for k, v in sorted(files.items())}
+def archive(files: Mapping[str, bytes], about: Mapping[str, Any] | None = None) -> bytes:
+    """A ZIP of stored files with a fixed date, so equal files give equal bytes; a manifest lists their digests, and what about says."""
+    manifest: dict[str, Any] = {k: "sha256:" + hashlib.sha256(v).hexdigest() for k, v in sorted(files.items())}
+    if about is not None:
+        manifest = {**about, "entries": manifest}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         for k, v in [*sorted(files.items()), ("manifest.json", stable_json(manifest).encode())]:
@@ -101,17 +192,22 @@ def archive(files: Mapping[str, bytes]) -> bytes:
     return out.getvalue()
 
 
-def chain(records: Iterable[tuple[str, Any, Any]]) -> list[dict[str, Any]]:
-    """Replay records (tool, request, observation), each with the hash of the one before."""
-    out, last = [], None
-    for i, (tool, request, observation) in enumerate(records):
-        body = {"index": i, "toolName": tool, "request": request, "observation": observation, "previousRecordHash": last}
-        last = "sha256:" + hashlib.sha256(stable_json(body).encode()).hexdigest()
-        out.append(body | {"recordHash": last})
-    return out
-
-
-def verify_chain(records: list[dict[str, Any]]) -> list[str]:
-    """What is wrong with replay records; empty if nothing is."""
-    want = chain((r["toolName"], r["request"], r["observation"]) for r in records)
-    return [f"record {i} differs in {k}" for i, (a, b) in enumerate(zip(records, want)) for k in ("index", "previousRecordHash", "recordHash") if a.get(k) != b[k]]
+# Fixed value: the date in records of simulated products.
+PRODUCT_DATE = "03-JUL-2026"
+
+
+def assembly_genbank(product: Mapping[str, Any], locus: str, name: str) -> str:
+    """A simulated product as a record with its two junctions as features, at its last and its first base."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", locus):
+        raise MoleculeError("INVALID_ARGUMENT", "Ids of products have letters, digits, dot, hyphen and underscore.", value=locus)
+    quoted = lambda v: str(v).replace("\\", "\\\\").replace('"', '\\"')
+    field = lambda k, v: f'{" " * 21}/{k}="{quoted(v)}"'
+    n, low = len(product["sequence"]), product["sequence"].lower()
+    out = [f"LOCUS       {locus[:14]:<14} {n:>7} bp    DNA    {'circular':<8} {PRODUCT_DATE}", f"DEFINITION  {name}; simulated restriction-ligation product {product['id']}.",
+           "FEATURES             Location/Qualifiers", f"     source          1..{n}", field("label", name), field("note", "Simulated; not stored in the workspace.")]
+    for i, (at, j) in enumerate(zip((n, 1), product["junctions"]), 1):
+        out += [f"     misc_feature    {at}", field("label", f"junction_{i}"), field("note", f"{j['left']} to {j['right']}; {j['type']}; overhang {j['overhang'] or 'blunt'}")]
+        out += [field("regenerated_site", j["regenerated"])] if j["regenerated"] else []
+    out.append("ORIGIN")
+    out += [f"{i + 1:>9} " + " ".join(low[j : j + 10] for j in range(i, min(i + 60, n), 10)) for i in range(0, n, 60)]
+    return "\n".join([*out, "//", ""])

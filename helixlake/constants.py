@@ -64,3 +64,11 @@ DEFAULT_COLOR = "#546E7A"
 
 # Caps of single calls.
 MAX_SITES, MAX_ORFS, MAX_GUIDES, MAX_REPORT_GUIDES, MAX_BANDS = 200, 200, 20, 25, 100
+
+# Elements and attributes that a drawing in a review page may have.
+SVG_TAGS = ("circle", "defs", "g", "line", "marker", "path", "rect", "style", "svg", "text", "title", "tspan")
+SVG_ATTRIBUTES = (
+    "aria-label", "class", "cx", "cy", "d", "dominant-baseline", "fill", "font-weight", "height", "id", "marker-end", "markerHeight",
+    "markerUnits", "markerWidth", "opacity", "orient", "r", "refX", "refY", "role", "rx", "stroke", "stroke-dasharray", "stroke-linecap",
+    "stroke-width", "text-anchor", "transform", "viewBox", "width", "x", "x1", "x2", "xmlns", "y", "y1", "y2",
+)

@@ -8,7 +8,7 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
-from helixlake import artifacts
+from helixlake import artifacts, review
 from helixlake.errors import MoleculeError
 from helixlake.functions import sequence as S
 from helixlake.sources import fasta, genbank, tool_outputs
@@ -75,11 +75,13 @@ def test_files():
         artifacts.gel_svg({"a": [1] * 101})
     data = artifacts.archive({"b.txt": b"x", "a.txt": b"y"})
     assert data == artifacts.archive({"a.txt": b"y", "b.txt": b"x"}) and zipfile.ZipFile(BytesIO(data)).namelist() == ["a.txt", "b.txt", "manifest.json"]
-    records = artifacts.chain([("t", {"a": 1}, 2), ("u", {}, 3)])
-    assert not artifacts.verify_chain(records)
-    records[0]["observation"] = 9
-    assert artifacts.verify_chain(records)
     assert artifacts.protein_fasta("x y", "MA*") == ">x_y\nMA\n"
-    assert "stroke" in artifacts.map_svg("p", 100, [{"type": "CDS", "start": 90, "end": 10, "name": "f"}])
+    feature = {"id": "f", "type": "CDS", "segments": [{"start": 90, "end": 10, "strand": "+"}], "name": "f <x>"}
+    primer = {"id": "p", "name": "p", "segments": [{"start": 5, "end": 9, "strand": "-"}]}
+    guide = {"id": "g", "name": "g", "sequence": "A" * 20, "pam": "AGG", "strand": "+", "start": 20, "end": 39, "pam_start": 40, "pam_end": 42}
+    drawn = artifacts.map_svg("p", 100, [feature, feature | {"type": "source"}], [primer], [guide], [{"enzyme": "EcoRI", "position": 50}])
+    assert review.svg_fault(drawn) is None and drawn.count("f &lt;x&gt;") == 2 and "guide-forward" in drawn and "EcoRI cut at 50" in drawn
+    with pytest.raises(MoleculeError):
+        artifacts.map_svg("p", 100, [], cut_sites=[{"enzyme": "EcoRI", "position": 101}])
     with pytest.raises(MoleculeError):
         artifacts.guide_report({}, ["g"])
