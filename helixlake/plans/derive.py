@@ -24,16 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if they come from fewer files: what follows costs far more than moving a few narrow columns."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(molecule_id, name, topology, sequence) of every part."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
     return p.select(F.col("p_partkey").cast("long").alias("molecule_id"), F.col("p_name").alias("name"),
                     F.when(F.col("p_size") % 2 == 0, "circular").otherwise("linear").alias("topology"), dna(F.col("p_partkey")).alias("sequence"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(molecule_id, feature_id, type, segments) of every lineitem: one or two segments of its part's molecule."""
-    x = table(spark, sf_dir, "lineitem")
+    x = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
     q, line = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
     start = 1 + (F.col("l_orderkey") * 7 + line * 13 + q) % 180
     strand = F.when(F.col("l_returnflag") == "R", "-").otherwise("+")

@@ -38,9 +38,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # Scalars
 
 
-@query("normalize_seq", f"WITH {MOL} SELECT molecule_id, sequence AS normalized, CAST(NULL AS BIGINT) AS invalid FROM mol")
+@query("normalize_seq", f"""WITH {MOL}, b AS (SELECT *, CASE WHEN molecule_id % 3 = 0 THEN CAST(molecule_id % 250 AS BIGINT) END AS bad FROM mol)
+SELECT molecule_id, CASE WHEN bad IS NULL THEN sequence ELSE substr(sequence, 1, bad) || 'X' || substr(sequence, bad + 2) END AS normalized, bad AS invalid FROM b""")
 def normalize_seq(spark, d):
-    m = D.molecules(spark, d).withColumn("raw", F.concat(F.lower(F.substring("sequence", 1, 100)), F.lit(" \n\t"), F.expr("substring(sequence, 101)")))
+    spoilt = F.expr("CASE WHEN molecule_id % 3 = 0 THEN overlay(sequence PLACING 'x' FROM cast(molecule_id % 250 + 1 as int)) ELSE sequence END")
+    m = D.molecules(spark, d).withColumn("s", spoilt).withColumn("raw", F.concat(F.lower(F.substring("s", 1, 100)), F.lit(" \n\t"), F.expr("substring(s, 101)")))
     return m.select("molecule_id", S.normalize("raw").alias("normalized"), S.first_invalid("raw").cast("long").alias("invalid"))
 
 
@@ -103,9 +105,9 @@ def homopolymer_run(spark, d):
     return D.molecules(spark, d).select("molecule_id", S.longest_run("sequence").cast("long").alias("run"))
 
 
-@query("hamming_distance", f"WITH {MOL} SELECT molecule_id, CAST(hamming(substr(sequence, 1, 100), substr(sequence, 101, 100)) AS BIGINT) AS distance FROM mol")
+@query("hamming_distance", f"WITH {MOL} SELECT molecule_id, CAST(hamming(substr(sequence, 1, 128), substr(sequence, 129, 128)) AS BIGINT) AS distance FROM mol")
 def hamming_distance(spark, d):
-    return D.molecules(spark, d).select("molecule_id", S.hamming(F.substring("sequence", 1, 100), F.substring("sequence", 101, 100)).cast("long").alias("distance"))
+    return D.molecules(spark, d).select("molecule_id", S.hamming(F.substring("sequence", 1, 128), F.substring("sequence", 129, 128)).cast("long").alias("distance"))
 
 
 @query("slug_ids", """SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN x = '' THEN 'record' ELSE x END AS slug, substr(regexp_replace(s_name, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS token
@@ -142,9 +144,15 @@ def genbank_dates(spark, d):
     return D.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), X.genbank_date(F.col("o_orderdate")).alias("date"))
 
 
-@query("feature_colors", f"WITH {FEAT} SELECT feature_id, molecule_id, '#E9A227' AS color FROM feat")
+_KINDS = [*sorted(K.FEATURE_COLORS), "CDs", "source"]
+_COLORS = " ".join(f"WHEN {i} THEN '{K.FEATURE_COLORS.get(k, K.DEFAULT_COLOR)}'" for i, k in enumerate(_KINDS))
+
+
+@query("feature_colors", f"WITH {FEAT} SELECT feature_id, molecule_id, CASE (molecule_id + q) % {len(_KINDS)} {_COLORS} END AS color FROM feat")
 def feature_colors(spark, d):
-    return D.features(spark, d).select("feature_id", "molecule_id", X.feature_color(F.col("type")).alias("color"))
+    first = F.get("segments", F.lit(0))
+    kind = F.get(F.array(*map(F.lit, _KINDS)), ((F.col("molecule_id") + first["end"] - first["start"]) % len(_KINDS)).cast("int"))
+    return D.features(spark, d).select("feature_id", "molecule_id", X.feature_color(kind).alias("color"))
 
 
 # Restriction
@@ -197,7 +205,7 @@ def digest_circular(spark, d):
 @query("digest_fragment_summary", f"""WITH {MOL}, {_FRAG} SELECT molecule_id, count(*) AS n_fragments, CAST(max(size) AS BIGINT) AS largest,
   CAST(min(size) AS BIGINT) AS smallest, CAST(sum(size) AS BIGINT) AS total FROM frag GROUP BY molecule_id""")
 def digest_fragment_summary(spark, d):
-    return restriction.fragment_summary(restriction.digest(D.molecules(spark, d)))
+    return restriction.digest_summary(D.molecules(spark, d))
 
 
 @query("top_k_sites_capped", f"""WITH {MOL}, {_sites()}, r AS (SELECT {_SITE_COLUMNS}, row_number() OVER (PARTITION BY molecule_id ORDER BY s, enzyme) AS place,
@@ -209,8 +217,7 @@ def top_k_sites_capped(spark, d):
 
 @query("sites_rollup", f"WITH {MOL}, {_sites()} SELECT enzyme, topology, count(*) AS n_sites, count(DISTINCT molecule_id) AS n_molecules FROM site GROUP BY ROLLUP (enzyme, topology)")
 def sites_rollup(spark, d):
-    m = D.molecules(spark, d)
-    return (restriction.find_sites(m).join(m.select("molecule_id", "topology"), "molecule_id").rollup("enzyme", "topology")
+    return (restriction.find_sites(D.molecules(spark, d), carried=["topology"]).rollup("enzyme", "topology")
             .agg(F.count("*").alias("n_sites"), F.countDistinct("molecule_id").alias("n_molecules")))
 
 
@@ -267,10 +274,10 @@ def orfs_both_strands(spark, d):
 
 
 @query("translate_region", f"""WITH {MOL}, {FEAT}, t AS (SELECT s.molecule_id, s.s AS start, s.e AS "end", strand, CASE WHEN strand = '-' THEN {RC.format('substr(sequence, s.s, s.e - s.s + 1)')}
-  ELSE substr(sequence, s.s, s.e - s.s + 1) END AS x FROM seg s JOIN mol m USING (molecule_id) WHERE i = 0)
+  ELSE substr(sequence, s.s, s.e - s.s + 1) END AS x FROM seg s JOIN mol m USING (molecule_id))
 SELECT molecule_id, start, "end", strand, {_aa('x')} AS amino_acids, CASE WHEN len(x) % 3 > 0 THEN right(x, len(x) % 3) END AS partial_codon FROM t""")
 def translate_region(spark, d):
-    f = D.features(spark, d).select("molecule_id", F.get("segments", F.lit(0)).alias("s")).select("molecule_id", "s.*")
+    f = D.features(spark, d).select("molecule_id", F.explode("segments").alias("s")).select("molecule_id", "s.*")
     return orfs.translate_region(f.join(D.molecules(spark, d).select("molecule_id", "sequence"), "molecule_id"))
 
 
@@ -477,13 +484,9 @@ def mrna_summary(spark, d):
 # Alignment and gel
 
 
-def _pairs(spark, d):
-    return D.molecules(spark, d).select("molecule_id", F.substring("sequence", 1, 48).alias("query"), F.substring("sequence", 33, 56).alias("target"))
-
-
-@query("align_global_unit_cost", f"WITH {MOL} SELECT molecule_id, CAST(-levenshtein(substr(sequence, 1, 48), substr(sequence, 33, 56)) AS BIGINT) AS score FROM mol")
+@query("align_global_unit_cost", f"WITH {MOL} SELECT molecule_id, CAST(-levenshtein(sequence, {RCS}) AS BIGINT) AS score FROM mol")
 def align_global_unit_cost(spark, d):
-    return alignment.align_pairs(_pairs(spark, d), 0, -1, -1).select("molecule_id", "score")
+    return alignment.align_pairs(_strands(spark, d), 0, -1, -1).select("molecule_id", "score")
 
 
 def _strands(spark, d):
@@ -507,10 +510,11 @@ def gel_bands(spark, d):
     return b.withColumn("y", F.round("y", 6))
 
 
-@query("map_positions", f"""WITH {FEAT} SELECT molecule_id, feature_id, round(360 + 200 * cos(radians((a - 1) * 360 / 256 - 90)), 6) AS x, round(280 + 200 * sin(radians((a - 1) * 360 / 256 - 90)), 6) AS y FROM feat""")
+@query("map_positions", f"""WITH {FEAT} SELECT molecule_id, feature_id, CAST(i AS BIGINT) AS segment, round(360 + 200 * cos(radians((s - 1) * 360 / 256 - 90)), 6) AS x, round(280 + 200 * sin(radians((s - 1) * 360 / 256 - 90)), 6) AS y FROM seg""")
 def map_positions(spark, d):
-    x, y = gel.polar(F.get("segments", F.lit(0))["start"], F.lit(256), 200.0, 360.0, 280.0)
-    return D.features(spark, d).select("molecule_id", "feature_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    x, y = gel.polar(F.col("s")["start"], F.lit(256), 200.0, 360.0, 280.0)
+    f = D.features(spark, d).select("molecule_id", "feature_id", F.posexplode("segments").alias("i", "s"))
+    return f.select("molecule_id", "feature_id", F.col("i").cast("long").alias("segment"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
 # Sources and sinks

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.errors import MoleculeError
+from helixlake.shipping import ship
 
 SEGMENT = "array<struct<start:long,end:long,strand:string>>"
 SCHEMA = (f"path string, name string, description string, sequence string, topology string, molecule_type string, "
@@ -105,6 +106,7 @@ def parse_record(text: str) -> dict[str, Any]:
 
 def parse(files: DataFrame) -> DataFrame:
     """One row a file of files(path, content); error holds what is wrong, the other columns are then null."""
+    ship(files.sparkSession)
     names = ["path", "name", "description", "sequence", "topology", "molecule_type", "features", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

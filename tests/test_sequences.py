@@ -160,6 +160,48 @@ def test_alignment_properties():
         assert got["matches"] - got["mismatches"] - 2 * got["gaps"] == got["score"] == alignment.align(t, q)["score"]
 
 
+def plain_alignment(q, t, local):
+    """The same rules cell by cell."""
+    h = [[0 if local else -2 * (i + j) if 0 in (i, j) else 0 for j in range(len(t) + 1)] for i in range(len(q) + 1)]
+    for i in range(1, len(q) + 1):
+        for j in range(1, len(t) + 1):
+            h[i][j] = max(h[i - 1][j - 1] + (1 if q[i - 1] == t[j - 1] else -1), h[i - 1][j] - 2, h[i][j - 1] - 2, *([0] if local else []))
+    i, j = len(q), len(t)
+    if local:
+        best = max(map(max, h))
+        i, j = next((i, j) for i in range(len(q) + 1) for j in range(len(t) + 1) if h[i][j] == best)
+    score, x, y = h[i][j], "", ""
+    while (i or j) and not (local and h[i][j] == 0):
+        if i and j and h[i][j] == h[i - 1][j - 1] + (1 if q[i - 1] == t[j - 1] else -1):
+            i, j, x, y = i - 1, j - 1, q[i - 1] + x, t[j - 1] + y
+        elif i and h[i][j] == h[i - 1][j] - 2:
+            i, x, y = i - 1, q[i - 1] + x, "-" + y
+        else:
+            j, x, y = j - 1, "-" + x, t[j - 1] + y
+    return score, x, y
+
+
+def test_alignment_against_plain_python(monkeypatch):
+    pairs = [["".join(RNG.choice("ACGT") for _ in range(RNG.choice([0, 1, 7, 7, 20]))) for _ in range(2)] for _ in range(120)]
+    for cells in (alignment.CELLS, 30):  # whole matrices, and rows kept
+        monkeypatch.setattr(alignment, "CELLS", cells)
+        for local in (False, True):
+            got = alignment.align_all(*zip(*pairs), local=local)
+            assert [(r["score"], r["aligned_query"], r["aligned_target"]) for r in got] == [plain_alignment(q, t, local) for q, t in pairs]
+            for r, (q, t) in zip(got, pairs):
+                if r["aligned_query"]:
+                    assert q[r["query_start"] - 1 : r["query_end"]] == r["aligned_query"].replace("-", "") and t[r["target_start"] - 1 : r["target_end"]] == r["aligned_target"].replace("-", "")
+
+
+def test_a_long_molecule(spark):
+    """Ten million bases with 100,000 sites: arrays of hits and fragments are no worse than their length's root times it."""
+    m = spark.range(1).selectExpr("id AS molecule_id", "'circular' AS topology", "repeat(concat(repeat('ACGTAA', 15), 'TTTT', 'GAATTC'), 100000) AS sequence")
+    sites = restriction.find_sites(m, ["EcoRI"])
+    assert sites.agg(F.count("*"), F.sum("start")).first() == (100_000, sum(range(95, 10_000_000, 100)))
+    assert restriction.digest(m, ["EcoRI"]).agg(F.count("*"), F.sum("size"), F.max("size")).first() == (100_000, 10_000_000, 100)
+    assert restriction.digest_summary(m, ["EcoRI"]).first() == (0, 100_000, 100, 100, 10_000_000)
+
+
 def test_alignment_queries_read_whole_molecules(spark, tmp_path):
     from helixlake.plans import derive, queries
 
