@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import gc
-import io
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (single-machine tests).
-LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
+from helixlake.shipping import shared_dir, ship
+
 #: Rows of a side that may be broadcast; each use states the bytes of a row.
 BROADCAST_ROWS = 200_000
 #: Buckets of a stored table at most; beyond it they grow.
@@ -21,36 +18,11 @@ MOST_BUCKETS = 20_000
 BATCH_BYTES = 8_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where a session on one machine leaves it unset, LOCAL_CHECKPOINT_DIR is used;
-    on a cluster it must be set, as executors can't read each other's folders.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return base or LOCAL_CHECKPOINT_DIR
-
-
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers import this package wherever they run, and bounds the batches that they get."""
-    context = spark.sparkContext
     # Two copies of a batch of texts live in the JVM and in the worker at a time.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if getattr(context, "_helixlake_shipped", False):
-        return
-    root, held = Path(__file__).resolve().parents[2], io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for path in sorted((root / "helixlake").rglob("*.py")):
-            z.write(path, str(path.relative_to(root)))
-    target = f"{shared_dir(spark)}/helixlake/code-{uuid.uuid4().hex}.zip"
-    hadoop = context._jvm.org.apache.hadoop.fs.Path(target)
-    stream = hadoop.getFileSystem(context._jsc.hadoopConfiguration()).create(hadoop)
-    stream.write(held.getvalue())
-    stream.close()
-    context.addPyFile(target)
-    context._helixlake_shipped = True
+    ship(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
