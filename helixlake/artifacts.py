@@ -25,28 +25,43 @@ def stable_json(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def gel_svg(lanes: Mapping[str, Iterable[int]], ladder: Iterable[int] = tuple(K.LADDER), width: int = K.GEL_WIDTH, height: int = K.GEL_HEIGHT) -> str:
-    """Bands of lanes (label to sizes) next to the ladder."""
-    lanes = {k: list(v) for k, v in lanes.items()}
-    total = sum(map(len, lanes.values()))
-    if not lanes or any(not v for v in lanes.values()) or total > K.MAX_BANDS:
+def gel_svg(lanes: Mapping[str, Iterable[int | Mapping[str, Any]]], ladder: Iterable[int] = tuple(K.LADDER), width: int = K.GEL_WIDTH, height: int = K.GEL_HEIGHT, id: str = "gel") -> str:
+    """Bands of lanes (label to sizes, or to size and label) next to the ladder; those beyond it lie at its ends, dashed and named."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", id):
+        raise MoleculeError("INVALID_ARGUMENT", "Ids of gels have letters, digits, hyphen and underscore.", gelId=id)
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool) and v >= 1
+    own = {k: [v if isinstance(v, Mapping) else {"size": v} for v in vs] for k, vs in lanes.items()}
+    ladder = list(ladder)
+    total = sum(map(len, own.values()))
+    if not own or any(not k or not v for k, v in own.items()) or total > K.MAX_BANDS:
         raise MoleculeError("INVALID_ARGUMENT", "Lanes must hold 1 to 100 bands in all.", bands=total)
-    ladder = sorted(set(ladder), reverse=True)
+    if not ladder or not all(map(whole, [*ladder, *(b.get("size") for v in own.values() for b in v)])):
+        raise MoleculeError("INVALID_ARGUMENT", "Sizes are whole numbers from 1.")
     low, high, top, bottom = min(ladder), max(ladder), K.GEL_TOP, height - K.GEL_BOTTOM_MARGIN
+    left, step = 78, (width - 168) / len(own)
 
     def y(size: int) -> float:
         if low == high:
             return (top + bottom) / 2
-        own = min(max(size, low), high)
-        return top + (math.log10(high) - math.log10(own)) / (math.log10(high) - math.log10(low)) * (bottom - top)
-
-    every = [("ladder", ladder), *lanes.items()]
-    step = (width - 120) / len(every)
-    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">']
-    for i, (label, sizes) in enumerate(every):
-        x = 60 + step * i
-        parts.append(f'<text x="{number(x)}" y="{top - 12}">{html.escape(label)}</text>')
-        parts += [f'<rect x="{number(x)}" y="{number(y(s))}" width="{number(step * 0.7)}" height="3"><title>{s} bp</title></rect>' for s in sizes]
+        at = min(max(size, low), high)
+        return top + (math.log10(high) - math.log10(at)) / (math.log10(high) - math.log10(low)) * (bottom - top)
+
+    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="0 0 {width} {height}" role="img" aria-label="{id} digest gel">',
+             '<rect width="100%" height="100%" fill="#ffffff"/>', f'<text class="title" x="22" y="27">{id}</text>',
+             f'<rect x="48" y="56" width="{number(width - 76)}" height="{number(height - 96)}" rx="8" fill="#EEF4F2" stroke="#CDD8D5"/>']
+    for i, (name, bands) in enumerate([("Ladder", [{"size": s} for s in ladder]), *own.items()]):
+        x, half = left + i * step, 17 if i else 12
+        parts.append(f'<text class="lane-label" x="{number(x)}" y="{height - 16}" text-anchor="middle">{html.escape(name)}</text>')
+        for band in bands:
+            size, at = band["size"], number(y(band["size"]))
+            beyond = f"{'below' if size < low else 'above'} ladder range ({low}-{high} bp)" if not low <= size <= high else ""
+            title = ", ".join(filter(None, [f"{name}: {size} bp", str(band.get("label") or ""), beyond]))
+            color, more = ("#B23A48", ' stroke-dasharray="5 3"') if beyond else ("#151B1A" if i else "#465A64", "")
+            parts.append(f'<line x1="{number(x - half)}" y1="{at}" x2="{number(x + half)}" y2="{at}" stroke="{color}" stroke-width="5" stroke-linecap="round"{more}><title>{html.escape(title)}</title></line>')
+            if not i:
+                parts.append(f'<text class="ladder-label" x="{number(x - 24)}" y="{at}" text-anchor="end">{f"{size // 1000} kb" if size % 1000 == 0 else f"{size} bp"}</text>')
+            elif beyond:
+                parts.append(f'<text class="warning-label" x="{number(x + 23)}" y="{at}">{html.escape(f"{size} bp {beyond}")}</text>')
     return "\n".join([*parts, "</svg>", ""])
 
 
@@ -155,7 +170,7 @@ def guide_report(guides: Mapping[str, Mapping[str, Any]], wanted: list[str]) ->
     missing = [i for i in wanted if i not in guides]
     if missing:
         raise MoleculeError("GUIDE_NOT_FOUND", "No such guide.", ids=missing)
-    cell = lambda v: str(v).replace("\\", "\\\\").replace("|", "\\|")
+    cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
     known = lambda v, digits=2: "-" if v is None else number(v, digits) if isinstance(v, float) else str(v)
     shown = [{"guide_id": i} | dict(guides[i]) for i in wanted[: K.MAX_REPORT_GUIDES]]
     lines = ["# Guide RNAs", ""]
@@ -176,7 +191,7 @@ def guide_report(guides: Mapping[str, Mapping[str, Any]], wanted: list[str]) ->
 def protein_fasta(name: str, amino_acids: str) -> str:
     """60 letters a line, without one trailing stop."""
     own = amino_acids.removesuffix("*")
-    safe = re.sub(r"[^A-Za-z0-9._-]+", "_", name)[:80]
+    safe = re.sub(r"[^A-Za-z0-9._-]+", "_", name)[:80] or "protein"
     return "\n".join([f">{safe}", *(own[i : i + 60] for i in range(0, len(own), 60)), ""])
 
 

@@ -18,6 +18,24 @@ def safe_token(value: Column, most: int = 80) -> Column:
     return F.substring(F.regexp_replace(value, "[^A-Za-z0-9._-]+", "_"), 1, most)
 
 
+def _or(s: Column, name: str) -> Column:
+    return F.when(s == "", F.lit(name)).otherwise(s)
+
+
+def path_token(value: Column, most: int = 80) -> Column:
+    """A part of a file's name: trimmed of underscores, 'query' if nothing is left."""
+    return F.substring(_or(F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), "query"), 1, most)
+
+
+def protein_id(value: Column) -> Column:
+    return _or(safe_token(value), "protein")
+
+
+def report_id(ids: Column) -> Column:
+    """The name of a report on an array of ids."""
+    return _or(safe_token(F.array_join(ids, "_")), "selected_guides")
+
+
 def escape_xml(s: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         s = F.replace(s, F.lit(a), F.lit(b))
@@ -25,7 +43,19 @@ def escape_xml(s: Column) -> Column:
 
 
 def escape_markdown(s: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(s, r"\\", r"\\\\"), r"\|", r"\\|")
+    """For a cell of a table: bars are marked, line ends are spaces."""
+    return F.replace(F.replace(s, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def escape_qualifier(s: Column) -> Column:
+    return F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def escape_script(s: Column) -> Column:
+    """JSON text that can stand in a script element."""
+    for c in "<>&":
+        s = F.replace(s, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return s
 
 
 def redact_paths(s: Column) -> Column:

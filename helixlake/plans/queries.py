@@ -116,6 +116,32 @@ def slug_ids(spark, d):
     return D.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), X.slug(F.col("s_name")).alias("slug"), X.safe_token(F.col("s_name")).alias("token"))
 
 
+_TOKEN = "regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g')"
+
+
+@query("safe_tokens", f"""SELECT CAST(page_id AS BIGINT) AS page_id, substr(regexp_replace({_TOKEN}, '^_+|_+$', '', 'g'), 1, 80) AS path_token, substr({_TOKEN}, 1, 80) AS protein_id,
+  substr({_TOKEN} || '_' || CAST(page_id AS VARCHAR), 1, 80) AS report_id FROM pages""")
+def safe_tokens(spark, d):
+    p = D.table(spark, d, "pages")
+    return p.select(F.col("page_id").cast("long").alias("page_id"), X.path_token(F.col("url")).alias("path_token"), X.protein_id(F.col("url")).alias("protein_id"),
+                    X.report_id(F.array("url", F.col("page_id").cast("string"))).alias("report_id"))
+
+
+@query("escape_records", """SELECT CAST(page_id AS BIGINT) AS page_id, sha256(replace(replace(html, '|', '\\|'), chr(10), ' ')) AS markdown, sha256(replace(replace(html, '\\', '\\\\'), '"', '\\"')) AS qualifier,
+  sha256(replace(replace(replace(html, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')) AS script FROM pages""")
+def escape_records(spark, d):
+    h = F.col("html")
+    return D.table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), F.sha2(X.escape_markdown(h), 256).alias("markdown"),
+                                             F.sha2(X.escape_qualifier(h), 256).alias("qualifier"), F.sha2(X.escape_script(h), 256).alias("script"))
+
+
+@query("number_formats", """SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE printf('%.2f', x) END AS two,
+  CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE printf('%.3f', x) END AS three FROM (SELECT p_partkey, p_partkey / 7 AS x FROM part)""")
+def number_formats(spark, d):
+    x = F.col("p_partkey") / 7
+    return D.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), X.fixed(x, 2).alias("two"), X.fixed(x, 3).alias("three"))
+
+
 @query("unique_ids", """WITH n AS (SELECT CAST(p_partkey AS BIGINT) AS molecule_id, regexp_replace(lower(p_name), '[^a-z0-9._-]+', '_', 'g') AS slug FROM part)
 SELECT molecule_id, CASE WHEN k = 1 THEN slug ELSE slug || '_' || CAST(k AS VARCHAR) END AS id
 FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY molecule_id) AS k FROM n)""")

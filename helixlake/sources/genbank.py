@@ -84,6 +84,8 @@ def parse_record(text: str) -> dict[str, Any]:
                 features.append({"key": key, "location": open_, "qualifiers": {}})
             elif value.startswith("/") and features:
                 name, has, own = value[1:].partition("=")
+                if not name or re.search(r"\s", name):
+                    raise MoleculeError("PARSE_ERROR", "Invalid qualifier.", text=value)
                 open_ = [own if has else "true"]
                 features[-1]["qualifiers"].setdefault(name, []).append(open_)
             elif value and open_ is not None:
@@ -95,8 +97,8 @@ def parse_record(text: str) -> dict[str, Any]:
         raise MoleculeError("PARSE_ERROR", "LOCUS length differs from the sequence.", locus=int(head[2]), found=len(seq))
 
     def unquoted(parts: list[str]) -> str:
-        s = " ".join(parts)
-        return s[1:-1] if len(s) > 1 and s[0] == s[-1] == '"' else s
+        """Lines are unquoted one by one, so quotes over several lines stay."""
+        return " ".join(s[1:-1] if len(s) > 1 and s[0] == s[-1] == '"' else s for s in parts).strip()
 
     done = [{"key": f["key"], "location": "".join(f["location"]), "segments": location("".join(f["location"])),
              "qualifiers": {k: [unquoted(v) for v in vs] for k, vs in f["qualifiers"].items()}} for f in features]
@@ -135,7 +137,7 @@ def write_record(name: str, sequence: str, topology: str = "linear", description
         own = dict(f.get("qualifiers") or {})
         if not set(own) & {"gene", "label", "product"}:
             own["label"] = [f.get("name", f["key"])]
-        out += ['{}/{}="{}"'.format(" " * 21, k, v.replace('"', '""')) for k, vs in own.items() for v in vs]
+        out += ['{}/{}="{}"'.format(" " * 21, k, v.replace("\\", "\\\\").replace('"', '\\"')) for k, vs in own.items() for v in vs]
     out.append("ORIGIN")
     low = sequence.lower()
     for i in range(0, len(low), 60):

@@ -318,9 +318,15 @@ def export_genbank(spark, workspace, molecule):
     return {"text": genbank.write_record(m["name"], m["sequence"], m["topology"], m["description"] or "", features=feats)}
 
 
-@tool({"lanes": _OBJECT})
-def render_digest_gel(spark, lanes):
-    return {"svg": artifacts.gel_svg(lanes)}
+@tool({"lanes": _OBJECT}, {"workspace": _STRING, "gel": _STRING, "ladder": {"type": "array", "items": _INT}, "width": {"type": "integer", "minimum": 1}, "height": {"type": "integer", "minimum": 1}})
+def render_digest_gel(spark, lanes, workspace=None, gel="gel", ladder=tuple(K.LADDER), width=K.GEL_WIDTH, height=K.GEL_HEIGHT):
+    """Lanes of fragment sizes next to a ladder; with a workspace the drawing is kept there."""
+    svg = artifacts.gel_svg(lanes, ladder, width, height, gel)
+    if workspace is None:
+        return {"svg": svg}
+    path = f"reports/gels/{gel}.gel.svg"
+    _put(workspace, path, svg)
+    return {"svg": svg, "artifacts": [{"kind": "gel", "path": path, "mimeType": "image/svg+xml"}]}
 
 
 @tool(_AT, {"show_primers": {"type": "boolean"}, "show_guides": {"type": "boolean"}, "cut_sites": _LIST, "width": {"type": "integer", "minimum": 1}, "height": {"type": "integer", "minimum": 1}, "output": _STRING})
@@ -457,6 +463,35 @@ def import_workspace(spark, path, workspace):
     return {"revision": w.transact(0, lambda _: tables), "from": header["revision"]}
 
 
+@tool({"workspace": _STRING, "folder": _STRING})
+def export_workspace(spark, workspace, folder):
+    """The workspace as a JSON document with FASTA files, in a new folder of it: nothing there is written over."""
+    w = Workspace(spark, workspace)
+    own = review.confined(workspace, folder, "folder")
+    if (Path(workspace) / own).exists():
+        raise MoleculeError("INVALID_ARGUMENT", "The folder is there already.", folder=folder)
+    doc, files = workspace_json.document(w)
+    for name, text in [*files.items(), ("workspace.json", artifacts.stable_json(doc) + "\n")]:
+        _put(workspace, f"{own}/{name}", text)
+    return {"path": f"{own}/workspace.json", "files": sorted(files), "revision": doc["revision"]}
+
+
+#: Editors that run, by workspace.
+_editors: dict[str, Any] = {}
+
+
+@tool({"workspace": _STRING}, {"molecule": _STRING, "port": {"type": "integer", "minimum": 0}})
+def open_sequence_editor(spark, workspace, molecule="", port=0):
+    """A page on this machine to look at molecules and to add features; one for each workspace."""
+    from helixlake import serve
+
+    Workspace(spark, workspace).revision()
+    key = str(Path(workspace).resolve())
+    if key not in _editors:
+        _editors[key] = serve.Editor(spark, workspace, molecule, port)
+    return {"url": _editors[key].url}
+
+
 @tool({"workspace": _STRING, "bundle": _STRING, "calls": {"type": "array", "items": _OBJECT}})
 def record_calls(spark, workspace, bundle, calls):
     """Makes calls (tool, arguments) and packs them with their answers as a replay bundle of the workspace."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixlake import __main__ as cli
-from helixlake import replay, review, tools
+from helixlake import replay, review, serve, tools
 from helixlake.errors import MoleculeError
 from helixlake.functions import sequence as S
 from helixlake.sources import ingest, workspace_json
@@ -138,3 +138,62 @@ def test_free_suffixes(spark):
     known = spark.createDataFrame([("b",), ("b_2",), ("b_4",), ("c",)], "id string")
     got = [r["id"] for r in ingest.unique_ids(rows, "slug", "k", known).orderBy("k").collect()]
     assert got == ["a", "a_2", "a_4", "a_3", "b_3", "b_5", "a_3_2", "c_02", "c_2"]
+
+
+def test_requests_by_line(spark, space):
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "reverse_complement", "arguments": {"sequence": "AC"}}},
+             {"id": 4, "method": "tools/call", "params": {"name": "none", "arguments": {}}}, {"id": 5, "method": "tools/call", "params": {"name": "get_version", "arguments": []}}, {"id": 6, "method": "x"}]
+    sink = io.StringIO()
+    serve.lines(spark, io.StringIO("\n".join([json.dumps({"jsonrpc": "2.0"} | a) for a in asked] + ["{", "", "[]"])), sink)
+    got = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert [r.get("id") for r in got] == [1, 2, 3, 4, 5, 6, None, None]
+    assert {t["name"] for t in got[1]["result"]["tools"]} == set(tools.TOOLS) and all(t["inputSchema"]["type"] == "object" for t in got[1]["result"]["tools"])
+    assert json.loads(got[2]["result"]["content"][0]["text"])["data"]["sequence"] == "GT"
+    assert got[3]["result"]["isError"] and got[4]["result"]["isError"] and got[5]["error"]["code"] == -32601 and got[6]["error"]["code"] == -32700
+
+
+def test_editor(spark, space):
+    import urllib.error
+    import urllib.request
+
+    editor = serve.Editor(spark, str(space.path), "v")
+
+    def ask(path, body=None, **headers):
+        request = urllib.request.Request(editor.url + path, None if body is None else json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request) as r:
+                return r.status, r.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    try:
+        assert "<html" in ask("")[1] and json.loads(ask("api/workspace")[1])["revision"] == space.revision()
+        found = json.loads(ask("api/context?molecule=v&enzymes=EcoRI&start=1&end=9")[1])
+        assert found["data"]["sequence"] == "AAAAGAATT" and len(found["sites"]) == 1
+        assert "EcoRI cut at" in ask("api/map?enzymes=EcoRI")[1]
+        assert ask("api/context?start=x")[0] == 400 and ask("none")[0] == 404 and ask("api/workspace", Origin="http://elsewhere")[0] == 403
+        feature = {"feature_id": "f", "molecule_id": "v", "name": "f", "type": "CDS", "segments": [{"start": 1, "end": 9, "strand": "+"}], "qualifiers": {}, "source": "editor"}
+        assert ask("api/features", {"feature": feature})[0] == 400 and ask("api/features", {"revision": 99, "feature": feature})[0] == 400
+        status, text = ask("api/features", {"revision": space.revision(), "feature": feature})
+        assert status == 200 and json.loads(text)["data"]["revision"] == space.revision()
+        assert ask("api/features", "x" * serve.MOST_BODY)[0] == 413
+    finally:
+        editor.close()
+    with pytest.raises(MoleculeError):
+        serve.Editor(spark, str(space.path), host="0.0.0.0")
+
+
+def test_export_workspace(spark, space):
+    got = tools.call(spark, "export_workspace", {"workspace": str(space.path), "folder": "out"})["data"]
+    assert got["files"] == ["sequences/i.fa", "sequences/v.fa"]
+    assert workspace_json.header_issues(json.loads((space.path / got["path"]).read_text())) == []
+    assert tools.call(spark, "export_workspace", {"workspace": str(space.path), "folder": "out"})["error"]["code"] == "INVALID_ARGUMENT"
+
+
+def test_gels(spark, space):
+    got = tools.call(spark, "render_digest_gel", {"lanes": {"a <b>": [{"size": 300, "label": "x"}, 100, 20_000]}, "workspace": str(space.path), "gel": "g1"})["data"]
+    svg = got["svg"]
+    assert review.svg_fault(svg) is None and svg.count("stroke-dasharray") == 2 and "a &lt;b&gt;: 300 bp, x" in svg and "100 bp below ladder range (250-10000 bp)" in svg and "2 kb" in svg
+    assert (space.path / got["artifacts"][0]["path"]).read_text() == svg
+    for bad in ({"lanes": {}}, {"lanes": {"a": []}}, {"lanes": {"a": [0]}}, {"lanes": {"a": [1.5]}}, {"lanes": {"a": [1]}, "gel": "a/b"}, {"lanes": {"a": [1]}, "ladder": []}):
+        assert tools.call(spark, "render_digest_gel", bad)["error"]["code"] == "INVALID_ARGUMENT"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zipfile
 from io import BytesIO
 
@@ -43,6 +44,42 @@ def test_stream(spark, tmp_path):
     assert {(r["name"], r["sequence"]) for r in w.read()["molecules"].collect()} == {("one", "ACGTAC"), ("two", "GGGG")}
     ingest.ingest(spark, str(tmp_path / "in"), w, str(tmp_path / "cp2")).awaitTermination()
     assert w.revision() == 1
+    (tmp_path / "in" / "b.fa").write_text(">good\nAC\n>bad\n")
+    (tmp_path / "in" / "c.fa").write_text(">three\nTTTT\n")
+    ingest.ingest(spark, str(tmp_path / "in"), w, str(tmp_path / "cp2"), str(tmp_path / "rejected")).awaitTermination()
+    assert {r["name"] for r in w.read()["molecules"].collect()} == {"one", "two", "three"}
+    assert [r["code"] for r in spark.read.json(str(tmp_path / "rejected")).collect()] == ["PARSE_ERROR"]
+
+
+def test_a_lock_left_behind(spark, tmp_path):
+    w = Workspace.create(spark, str(tmp_path / "w"))
+    w.lock_seconds = 0.1
+    (w.path / ".lock").mkdir()
+    row = spark.createDataFrame([("m", "m", "linear", "dna", "iupac_dna", "ACGT", 4, None, None)], SCHEMAS["molecules"]).withColumn("digest", S.digest("sequence"))
+    with pytest.raises(MoleculeError, match="WORKSPACE_LOCKED"):
+        w.upsert("molecules", row, 0)
+    os.utime(w.path / ".lock", (0, 0))
+    assert w.upsert("molecules", row, 0) == 1 and not (w.path / ".lock").exists()
+
+
+def test_locations(spark):
+    texts = ["5..9", "7", "join(1..2,4..6)", "complement(5..9)", "complement(join(1..2,4))", "5..9)", "complement(5..9", "9..5", "0..3", "join(1..2", "join(complement(1..2),3)", "<1..2", "", "1..2,3..4"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in frame.select("t", genbank.location_column(F.col("t")).alias("s")).collect():
+        try:
+            want = [tuple(x.values()) for x in genbank.location(r["t"])]
+        except MoleculeError:
+            want = None
+        assert (None if r["s"] is None else [tuple(x) for x in r["s"]]) == want, r["t"]
+
+
+def test_qualifiers():
+    head = "LOCUS       x 4 bp DNA linear\nFEATURES             Location/Qualifiers\n     CDS             1..4\n"
+    own = lambda q: genbank.parse_record(head + "".join(f"{' ' * 21}{x}\n" for x in q) + "ORIGIN\n 1 acgt\n//\n")["features"][0]["qualifiers"]
+    assert own(['/note="one"', "/pseudo", "/n=5"]) == {"note": ["one"], "pseudo": ["true"], "n": ["5"]}
+    assert own(['/note="over', 'two lines"']) == {"note": ['"over two lines"']}
+    with pytest.raises(MoleculeError, match="PARSE_ERROR"):
+        own(["/a b"])
 
 
 def test_fasta_errors(spark):
