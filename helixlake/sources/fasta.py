@@ -13,19 +13,23 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Lines are trimmed and blank ones skipped; the whole header is the name.
     Data before a header, an empty header, a record without sequence and a file
-    without records are errors, one row each.
+    without records are errors, one row each; a file with an error has no records.
     """
     body = F.array_join(F.filter(F.transform(F.split("content", r"\r\n|\r|\n"), F.trim), lambda x: x != ""), "\n")
-    rows = files.select("path", F.concat(F.lit("\n"), body).alias("body"))
-    parts = rows.select("path", F.posexplode(F.split("body", "\n>", -1)).alias("i", "part"))
-    rows = parts.where("i > 0").select("path", F.col("i").cast("long").alias("record"), F.trim(F.substring_index("part", "\n", 1)).alias("name"),
-                                       F.regexp_replace(F.when(F.contains("part", F.lit("\n")), F.expr("substring(part, instr(part, '\n') + 1)")).otherwise(""), r"\s", "").alias("sequence"))
-    early = parts.where((F.col("i") == 0) & (F.trim(F.regexp_replace("part", r"\s", "")) != "")).select("path", F.lit("data before the first header").alias("message"))
-    none = parts.groupBy("path").agg(F.max("i").alias("n")).where("n = 0").select("path", F.lit("no records").alias("message"))
-    unnamed = rows.where("name = ''").select("path", F.lit("empty header").alias("message"))
-    bare = rows.where("sequence = ''").select("path", F.lit("record without sequence").alias("message"))
-    errors = early.union(none).union(unnamed).union(bare).select("path", F.lit("PARSE_ERROR").alias("code"), "message")
-    return rows.where("name != '' and sequence != ''"), errors
+    name = lambda p: F.trim(F.substring_index(p, "\n", 1))
+    letters = lambda p: F.regexp_replace(F.when(F.instr(p, F.lit("\n")) > 0, F.substr(p, F.instr(p, F.lit("\n")) + 1, F.length(p))).otherwise(""), r"\s", "")
+    rows = files.select("path", F.split(F.concat(F.lit("\n"), body), "\n>", -1).alias("parts"))
+    rows = rows.select("path", "parts", F.trim(F.regexp_replace(F.get("parts", F.lit(0)), r"\s", "")).alias("early"))
+    wrong = F.exists(F.slice("parts", F.lit(2), F.size("parts")), lambda p: (name(p) == "") | (letters(p) == ""))
+    rows = rows.withColumn("bad", wrong | (F.col("early") != "") | (F.size("parts") == 1))
+    found = rows.select("path", "bad", F.posexplode("parts").alias("i", "part")).where("i > 0").select(
+        "path", "bad", F.col("i").cast("long").alias("record"), name(F.col("part")).alias("name"), letters(F.col("part")).alias("sequence"))
+    bad = rows.where("bad")
+    errors = bad.where("early != ''").select("path", F.lit("data before the first header").alias("message"))
+    errors = errors.union(bad.where(F.size("parts") == 1).select("path", F.lit("no records").alias("message")))
+    for rule, message in (("name = ''", "empty header"), ("sequence = ''", "record without sequence")):
+        errors = errors.union(found.where("bad").where(rule).select("path", F.lit(message).alias("message")))
+    return found.where("not bad").drop("bad"), errors.select("path", F.lit("PARSE_ERROR").alias("code"), "message")
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

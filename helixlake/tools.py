@@ -102,7 +102,7 @@ def _clear(rows: DataFrame) -> DataFrame:
     clear, errors = restriction.gate(rows)
     bad = errors.first()
     if bad:
-        raise MoleculeError("AMBIGUOUS_SEQUENCE", "The sequence has ambiguity letters.", positions=bad["positions"])
+        raise MoleculeError(bad["code"], "An unambiguous DNA sequence is needed.", positions=bad["positions"])
     return clear
 
 

@@ -235,3 +235,9 @@ def test_validation(spark):
 def test_ambiguity_gate(spark):
     clear, errors = restriction.gate(molecule(spark, "ACGNR"))
     assert clear.count() == 0 and errors.first()["positions"] == [4, 5]
+
+
+def test_only_dna_passes_the_gate(spark):
+    m = spark.createDataFrame([(1, "dna", "ACGT"), (2, "rna", "ACGU"), (3, "dna", "ACGN"), (4, None, "ACGT")], "molecule_id long, molecule_type string, sequence string")
+    clear, errors = restriction.gate(m)
+    assert rows(clear, "molecule_id") == [(1,)] and rows(errors, "molecule_id", "code") == [(2, "ALPHABET_MISMATCH"), (3, "AMBIGUOUS_SEQUENCE"), (4, "ALPHABET_MISMATCH")]
