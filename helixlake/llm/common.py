@@ -25,20 +25,20 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
     This cuts the lineage: what is read again comes from replicated storage and
     not from an executor, so a lost executor costs only the tasks it was running.
     """
     path = f"{shared_dir(df.sparkSession)}/helixlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._helixlake_path = path
     return out
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder, dealt by key, and reads it back: joins on key then move only their other side.
 
     There are as many buckets as shuffle partitions at least (with fewer, Spark deals both sides anew).
@@ -47,7 +47,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     buckets = min(MOST_BUCKETS, max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     table = f"helixlake_{name}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{shared_dir(spark)}/helixlake/{table}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", compression).saveAsTable(table)
     out = spark.table(table)
     out._helixlake_path, out._helixlake_table = path, table
     return out

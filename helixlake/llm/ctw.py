@@ -10,10 +10,11 @@ context that was seen).  Texts are lowered (A-Z) and end with a zero byte.
 
 The counts cover every training text and are summed in Spark, depth by depth:
 children's counts and log probabilities are pre-aggregated into their parents,
-and the weights are pushed back down by joins on the parent's key.  What
-scoring needs travels to the workers in shards of at most SHARD_ROWS rows, by
-the last two context bytes (words: by hash); texts are scored once for each
-shard, and a shard's scores are stored before the next shard is read.
+and the weights are pushed back down by joins on the parent's key.  Texts are
+dealt into chunks of about CHUNK_BYTES.  A chunk's distinct grams (a byte below
+its DEPTH preceding ones) and words are joined with their scores and come back
+to the chunk, where each text's are summed: neither a worker nor the driver
+holds the model, and every text is scored in one pass however large that is.
 
 Defined results: null is the empty text (its end is scored); repeated rows get
 equal scores; without training texts every bit has probability one half; an
@@ -27,21 +28,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernels
-from helixlake.llm.common import discard, materialise, prepare
+from helixlake.llm.common import bucketed, discard, materialise, prepare, release, text_of
 from helixlake.llm.langid import key_crc
 
 #: Preceding bytes that a context has at most (6 is the most that fits a key).
 DEPTH = 5
-#: Nodes, or words, that one shard of the model holds at most; about 40 bytes each in a worker.
-SHARD_ROWS = 3_000_000
+#: Bytes of text in a chunk, on average; a task holds one chunk, its distinct grams and their scores.
+CHUNK_BYTES = 16_000_000
 #: Distinct keys a counting task holds before it passes them on.
-FLUSH = 1_500_000
-#: Slots of a worker's cache of scored grams (a power of two).
-CACHE_BITS = 20
+FLUSH = 1_000_000
+#: Contexts that are looked up at a time.
+CONTEXTS = 4_096
 GRAM, WORD, END = 0, 1, 2
 
 
@@ -63,41 +65,46 @@ def grams(texts: kernels.Texts, depth: int = DEPTH) -> tuple[np.ndarray, np.ndar
     return out[symbol], np.concatenate([[0], np.cumsum(size + 1)])
 
 
-def count(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): how often each gram, word and end of text occurs; all of texts(text)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count(rows: DataFrame) -> DataFrame:
+    """(chunk, kind, key, n): each gram, word and end in a chunk of rows(chunk, training, text), and how often it occurs in training texts.
+
+    A key may have several rows in a chunk.
+    """
+    def run(whole: pa.Table) -> pa.Table:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
-        ends = 0
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
 
-        def fold(kind: int) -> int:
-            keys = np.concatenate([k for k, _ in held[kind]])
-            many = np.concatenate([n for _, n in held[kind]])
+        def fold(kind: int) -> None:
+            keys, many = (np.concatenate(x) for x in zip(*held[kind]))
             order = np.argsort(keys, kind="stable")
             keys, many = keys[order], many[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             held[kind] = [(keys[first], np.add.reduceat(many, first))]
-            return len(first)
-
-        def out(kind: int, keys: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)),
-                                               pa.array(many.astype(np.int64))], ["kind", "key", "n"])
-
-        for batch in batches:
-            for part in kernels.chunks(batch.column(0)):
-                ends += part.n
-                for kind, keys in ((GRAM, grams(part, depth)[0]), (WORD, part.words(lower=True)[0])):
-                    if len(keys):
-                        held[kind].append(np.unique(keys, return_counts=True))
-                        if sum(len(k) for k, _ in held[kind]) > 2 * FLUSH and fold(kind) > FLUSH:
-                            yield out(kind, *held[kind].pop())
+
+        for rows in kernels.chunks(whole["text"]):
+            some = whole.slice(rows.first, rows.n)
+            for learn in (True, False):
+                for part in kernels.chunks(some.filter(pa.compute.equal(some["training"], learn))["text"]):
+                    if learn:
+                        out.append((END, np.zeros(1, np.uint64), np.array([part.n])))
+                    for kind, keys in ((GRAM, grams(part)[0]), (WORD, part.words(lower=True)[0])):
+                        if len(keys):
+                            keys, many = np.unique(keys, return_counts=True)
+                            held[kind].append((keys, many if learn else np.zeros_like(many)))
+                            if sum(len(k) for k, _ in held[kind]) > 1.5 * FLUSH:
+                                fold(kind)
+                                if len(held[kind][0][0]) > FLUSH:
+                                    out.append((kind, *held[kind].pop()))
         for kind in held:
             if held[kind]:
                 fold(kind)
-                yield out(kind, *held[kind][0])
-        yield out(END, np.zeros(1, np.uint64), np.array([ends]))
+                out.append((kind, *held[kind][0]))
+        chunk = whole["chunk"][0]
+        return pa.table({"chunk": pa.repeat(chunk, sum(len(k) for _, k, _ in out)), "kind": pa.array(np.repeat([k for k, _, _ in out], [len(k) for _, k, _ in out]), pa.int32()),
+                         "key": pa.array(np.concatenate([k for _, k, _ in out] or [np.zeros(0, np.uint64)]).view(np.int64)),
+                         "n": pa.array(np.concatenate([n for _, _, n in out] or [np.zeros(0)]).astype(np.int64))})
 
-    counted = texts.select("text").mapInArrow(run, "kind int, key long, n long")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return rows.select("chunk", "training", "text").groupBy("chunk").applyInArrow(run, "chunk long, kind int, key long, n long")
 
 
 def log_gamma(x: Column) -> Column:
@@ -122,7 +129,7 @@ def _parent(depth: int) -> Column:
 def nodes(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(depth, key, p1): the probability of a one at each node whose path ends there."""
     bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b")
-    flat = counts.where(F.col("kind") == GRAM).select("key", "n", bits)
+    flat = counts.where((F.col("kind") == GRAM) & (F.col("n") > 0)).select("key", "n", bits)
     place = F.expr("cast(shiftleft(1L, b) | shiftright(key & 255L, 8 - b) as long)")
     one = F.expr("shiftright(key & 255L, 7 - b) & 1L") == 1
     leaf = flat.select((F.shiftright("key", 8) * 256 + place).alias("key"), F.when(one, F.col("n")).otherwise(0).alias("n1"),
@@ -157,161 +164,106 @@ def nodes(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-class Shard:
-    """What a worker needs to score the positions and words of one shard."""
-
-    def __init__(self, index: int, shards: int, node: np.ndarray, p1: np.ndarray, word: np.ndarray, count: np.ndarray,
-                 total: int, distinct: int, ends: int, deepest: int):
-        self.index, self.shards, self.deepest = index, shards, deepest
-        self.node, self.p1, self.word, self.count = node, p1, word, count
-        self.total, self.distinct, self.ends = total, distinct, ends
-        self.ready = False
-
-    def open(self) -> None:
-        if not self.ready:
-            self.nodes, self.words = kernels.HashTable(self.node), kernels.HashTable(self.word)
-            self.base = self.total + 0.5 * (self.distinct + 1)
-            self.end_log = float(np.log10((self.ends + 0.5) / self.base))
-            self.cached = np.zeros(1 << CACHE_BITS, np.uint64)
-            self.value = np.zeros(1 << CACHE_BITS)
-            self.ready = True
-
-    def _walk(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram."""
-        out = np.zeros(len(grams))
-        byte, context = grams & np.uint64(255), grams >> np.uint64(8)
-        for b in range(8):
-            node = np.uint64(1 << b) | byte >> np.uint64(8 - b)
-            p = np.full(len(grams), 0.5)
-            open_ = np.arange(len(grams))
-            for d in range(self.deepest, -1, -1):
-                key = ((context[open_] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | node[open_]) | np.uint64(d << 56)
-                at = self.nodes.find(key)
-                hit = at >= 0
-                p[open_[hit]] = self.p1[at[hit]].astype(float)
-                open_ = open_[~hit]
-                if not len(open_):
-                    break
-            one = (byte >> np.uint64(7 - b)) & np.uint64(1)
-            out += np.log10(np.where(one == 1, p, 1 - p))
-        return out
-
-    def byte_scores(self, grams: np.ndarray) -> np.ndarray:
-        key = grams | np.uint64(1 << 63)
-        slot = (kernels.mix(grams) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.value[slot]
-        miss = np.flatnonzero(self.cached[slot] != key)
-        if len(miss):
-            fresh, back = np.unique(grams[miss], return_inverse=True)
-            got = self._walk(fresh)
-            out[miss] = got[back]
-            self.cached[slot[miss]], self.value[slot[miss]] = key[miss], got[back]
-        return out
-
-    def score(self, part: kernels.Texts) -> tuple[np.ndarray, ...]:
-        """n_tokens, n_known, base_score and score of each text, as far as they are this shard's."""
-        self.open()
-        seen, first = grams(part, self.deepest)
-        logs = np.zeros(len(seen))
-        own = np.ones(len(seen), bool) if self.shards == 1 else shard_of(seen >> np.uint64(8), self.shards) == self.index
-        logs[own] = self.byte_scores(seen[own])
-        score = np.add.reduceat(logs, first[:-1])
-        words, at, _ = part.words(lower=True)
-        mine = np.ones(len(words), bool) if self.shards == 1 else shard_of(words >> np.uint64(40), self.shards) == self.index
-        found = np.full(len(words), -1, np.int32)
-        found[mine] = self.words.find(words[mine])
-        sums = lambda x: np.concatenate([[0], np.cumsum(x)])[at]
-        seen_words = np.zeros(len(words))
-        seen_words[found >= 0] = self.count[found[found >= 0]]
-        base = np.diff(sums(np.where(mine, np.log10((seen_words + 0.5) / self.base), 0.0)))
-        known, many = np.diff(sums(found >= 0)), np.diff(sums(mine))
-        if self.index == 0:  # the end of the text is a token, too
-            base, known, many = base + self.end_log, known + (self.ends > 0), many + 1
-        return many, known, base, score
-
-
-def shard_of(x: np.ndarray, shards: int) -> np.ndarray:
-    return (((x & np.uint64(0xFFFF)) * np.uint64(40503) & np.uint64(0xFFFF)) * np.uint64(shards) >> np.uint64(16)).astype(np.int64)
-
-
-def _shard_column(x: Column, shards: int) -> Column:
-    return F.shiftright((x.bitwiseAND(F.lit(0xFFFF)) * 40503).bitwiseAND(F.lit(0xFFFF)) * shards, 16)
-
-
-def packed(rows: DataFrame, many: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """rows(key, value), many of them, as two arrays of 8 bytes and the kind's.
-
-    Partitions come one after the other into arrays of the final size, so the
-    driver holds one shard and one partition.  For rows of a size that was checked.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy().astype(kind).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], ["k", "v"])
+def gram_scores(counts: DataFrame, tree: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, value): log10 of the probability of the last byte of each gram of counts."""
+    context, low = F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).cast("int")
+    # A context has at most 256 bytes and 255 nodes.
+    asked = counts.where(F.col("kind") == GRAM).groupBy(context).agg(F.collect_list(low).alias("bytes"))
+    known = tree.where(F.col("depth") == depth).groupBy(context).agg(F.collect_list(F.struct(low.alias("node"), "p1")).alias("nodes"))
 
-    keys, values, at = np.empty(many, np.uint64), np.empty(many, kind), 0
-    for r in rows.mapInArrow(run, "k binary, v binary").toLocalIterator():
-        own = np.frombuffer(r["k"], np.uint64)
-        keys[at : at + len(own)], values[at : at + len(own)] = own, np.frombuffer(r["v"], kind)
-        at += len(own)
-    return keys, values
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, CONTEXTS):
+                batch = whole.slice(a, CONTEXTS)
+                context = batch.column(0).to_numpy()
+                begin = batch.column(1).offsets.to_numpy()
+                byte = batch.column(1).values.to_numpy()[begin[0] : begin[-1]]
+                row = np.repeat(np.arange(batch.num_rows), np.diff(begin))
+                since, own = batch.column(2).offsets.to_numpy(), batch.column(2).values
+                node, p1 = (x.to_numpy()[since[0] : since[-1]] for x in own.flatten())
+                table = np.full((batch.num_rows, 256), np.nan)
+                table[np.repeat(np.arange(batch.num_rows), np.diff(since)), node] = p1
+                value, missing = np.zeros(len(byte)), np.zeros(len(byte), np.int32)
+                for b in range(8):
+                    p = table[row, 1 << b | byte >> (8 - b)]
+                    p = np.where(byte >> (7 - b) & 1 == 1, p, 1 - p)
+                    none = np.isnan(p)
+                    value += np.log10(np.where(none, 1.0, p))
+                    missing |= none.astype(np.int32) << b
+                yield pa.RecordBatch.from_arrays([pa.array(context[row] << 8 | byte), pa.array(value), pa.array(missing)], ["key", "value", "missing"])
+
+    deepest = materialise(asked.join(known, "context", "left").select("context", "bytes", "nodes").mapInArrow(
+        run, "key long, value double, missing int"), "ctw-deepest")
+    # Bits below a context that was not seen: the deepest of their shorter contexts that was, or one half.
+    bits = deepest.where("missing != 0").select("key", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"), "missing").where("shiftright(missing, b) & 1 = 1")
+    place = F.expr("cast(shiftleft(1L, b) | shiftright(key & 255L, 8 - b) as long)")
+    at = bits.select("key", "b", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("depth"), place.alias("node"))
+    at = at.select("key", "b", "depth", (F.shiftright("key", 8).bitwiseAND(F.expr("shiftleft(1L, 8 * depth) - 1")) * 256 + F.col("node")).alias("place"))
+    found = at.join(tree.where(F.col("depth") < depth).select("depth", F.col("key").alias("place"), "p1"), ["depth", "place"])
+    found = found.select("key", "b", "depth", "p1").unionByName(bits.select("key", "b", F.lit(-1).alias("depth"), F.lit(0.5).alias("p1")))
+    found = found.groupBy("key", "b").agg(F.max_by("p1", "depth").alias("p1"))
+    one = F.expr("shiftright(key & 255L, 7 - b) & 1L") == 1
+    shorter = found.groupBy("key").agg(F.sum(F.log10(F.when(one, F.col("p1")).otherwise(1 - F.col("p1")))).alias("more"))
+    return deepest.join(shorter, "key", "left").select("key", (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("value"))
 
 
-def score(docs: DataFrame, training: Column, depth: int = DEPTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def score(docs: DataFrame, training: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores all docs under counts of the rows where training holds.
 
     doc_id, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row.
     """
     spark = docs.sparkSession
     prepare(spark)
-    counts = materialise(count(docs.where(training), depth), "ctw-counts")
-    tree = nodes(counts, depth)
-    totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), text_of().alias("text"))
+    # Bytes and rows both count, as each text has an end.
+    chunks = -(-(rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1) // chunk_bytes)
+    rows = bucketed(rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))), "ctw-texts", "chunk", chunks, "zstd")
+    release(spark)
+    parts = materialise(count(rows), "ctw-parts", "zstd")
+    counts = materialise(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
+    release(spark)
+    totals = {r["kind"]: r for r in counts.where("n > 0").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
     ends = totals[END]["n"] if END in totals else 0
     words = totals[WORD] if WORD in totals else {"n": 0, "d": 0}
     total, distinct = words["n"] + ends, words["d"] + (ends > 0)
-    # With one shard per shard_rows the size of what a worker loads does not grow with the corpus.
-    shards = max(1, -(-tree.count() // shard_rows), -(-words["d"] // shard_rows))
-
-    def scored(index: int) -> DataFrame:
-        own_nodes, own_words = tree, counts.where(F.col("kind") == WORD)
-        if shards > 1:
-            own_nodes = own_nodes.where((F.col("depth") < 2) | (_shard_column(F.shiftright("key", 8), shards) == index))
-            own_words = own_words.where(_shard_column(F.shiftright("key", 40), shards) == index)
-        key = F.col("key").bitwiseOR(F.shiftleft(F.col("depth").cast("long"), 56)).alias("key")
-        node, p1 = packed(own_nodes.select(key, "p1"), own_nodes.count(), np.float32)
-        word, many = packed(own_words.select("key", "n"), own_words.count(), np.uint32 if total < 1 << 32 else np.int64)
-        shipped = spark.sparkContext.broadcast(Shard(index, shards, node, p1, word, many, total, distinct, ends, depth))
-        del node, p1, word, many
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in kernels.chunks(batch.column(3)):
-                    many, known, base, own = shipped.value.score(part)
-                    keys = [batch.column(i).slice(part.first, part.n) for i in range(3)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*keys, pa.array(np.diff(part.offsets)), pa.array(many.astype(np.int64)), pa.array(known.astype(np.int64)),
-                         pa.array(base), pa.array(own)],
-                        ["doc_id", "held_out", "h", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
-
-        own = docs.select(F.col("doc_id").cast("long"), (~training).alias("held_out"), F.xxhash64("text").alias("h"), "text").mapInArrow(
-            run, "doc_id long, held_out boolean, h long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
-        if shards == 1:
-            return own
-        own = materialise(own, "ctw-scores")
-        shipped.destroy()  # the driver holds one shard at a time
-        return own
-
-    out = scored(0)
-    if shards > 1:
-        for index in range(1, shards):
-            out = out.unionByName(scored(index))
-        times = F.count("*") / F.lit(shards)  # rows that agree in everything were scored together
-        out = out.groupBy("doc_id", "held_out", "h", "n_bytes").agg(
-            times.cast("int").alias("times"), *[(F.sum(c) / times).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-        out = out.withColumn("one", F.explode(F.sequence(F.lit(1), "times")))
-    return out.select("doc_id", "held_out", F.col("n_tokens").cast("long"), F.col("n_known").cast("long"),
-                      F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+    tree = nodes(counts)
+    release(spark)
+    values = materialise(gram_scores(counts, tree).withColumn("kind", F.lit(GRAM)).unionByName(
+        counts.where(F.col("kind") == WORD).select("key", F.col("n").cast("double").alias("value"), "kind")), "ctw-values")
+    for x in (counts, tree):
+        discard(x)
+    release(spark)
+    known = parts.where(F.col("kind") != END).select("chunk", "kind", "key").join(values, ["kind", "key"]).select("chunk", "kind", "key", "value")
+    norm = total + 0.5 * (distinct + 1)
+
+    def run(texts: pa.Table, scores: pa.Table) -> pa.Table:
+        look = {}
+        kinds, keys, values = (scores[c].to_numpy() for c in ("kind", "key", "value"))
+        for kind in (GRAM, WORD):
+            # A key that a counting task passed on twice has two rows.
+            key, first = np.unique(keys[kinds == kind].view(np.uint64), return_index=True)
+            look[kind] = kernels.HashTable(key), values[kinds == kind][first]
+        del kinds, keys, values, scores
+        out = []
+        for part in kernels.chunks(texts["text"]):
+            seen, first = grams(part)
+            table, value = look[GRAM]
+            logs = np.add.reduceat(value[table.find(seen)], first[:-1])
+            tokens, at, _ = part.words(lower=True)
+            table, value = look[WORD]
+            many = value[table.find(tokens)] if len(tokens) else np.zeros(0)
+            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])  # noqa: B023,E731
+            # The end of the text is a token, too.
+            base = sums(np.log10((many + 0.5) / norm)) + np.log10((ends + 0.5) / norm)
+            out.append((np.diff(part.offsets), np.diff(at) + 1, sums(many > 0) + (ends > 0), base, logs))
+        size, n, n_known, base, logs = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0)] * 5
+        return pa.table({"doc_id": texts["doc_id"], "held_out": pa.compute.invert(texts["training"]), "n_bytes": pa.array(size.astype(np.int64)),
+                         "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "base_score": pa.array(base.astype(float)),
+                         "score": pa.array(logs.astype(float))})
+
+    out = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+        run, "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
                       (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
