@@ -13,12 +13,17 @@ every vector is a query.  Lists are dealt out in blocks of at most BLOCK
 vectors, so a list that holds a third of all rows is many tasks' work.
 
 Equal vectors (bit for bit, after scaling, within a label) are one vertex with
-a count, so a group of copies is neither compared nor listed in pairs.
+a count, so a group of copies is neither compared nor listed in pairs.  Nor are
+links: a block sends back, for each of its vectors, how many links it has there
+and the least vector that they reach.  A pair that two blocks meet counts in the
+one where the vector of the smaller key asks.
 
 Defined results: vectors that are null, zero, or hold a null or a non-finite
 component, and vectors whose label is null, link with nothing: n_links 0, own
-component, kept.  A repeated vec_id counts as that many vectors of one id.  An
-empty table gives an empty result; other columns are not read.
+component, kept.  Vectors of different lengths don't link; each length has an
+index of its own.  A repeated vec_id counts as that many vectors of one id.
+Ties need no order, as all links count.  An empty table gives an empty result;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -105,29 +110,29 @@ class Index:
         return np.nonzero(total <= (REACH + error[None] + 1e-6) ** 2)
 
 
-def _unit(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled vectors of the usable rows (others zero) and which rows are usable."""
-    rows = column.to_pylist()
-    width = max((len(x) for x in rows if x is not None), default=0)
-    out = np.zeros((len(rows), width))
-    fine = np.zeros(len(rows), bool)
-    for i, x in enumerate(rows):
-        if x is not None and len(x) == width and width and None not in x:
-            v = np.asarray(x, float)
-            if np.isfinite(v).all():
-                v = v / max(np.abs(v).max(), 1e-300)
-                length = np.sqrt((v * v).sum())
-                if length > 0:
-                    out[i], fine[i] = v / length, True
-    return out, fine
+def _unit(x: list | None) -> np.ndarray | None:
+    """The vector scaled to length one, or None if it is not usable."""
+    if not x or None in x:
+        return None
+    v = np.asarray(x, float)
+    if not np.isfinite(v).all():
+        return None
+    v = v / max(np.abs(v).max(), 1e-300)
+    length = np.sqrt((v * v).sum())
+    return v / length if length > 0 else None
+
+
+def _stacked(values: pa.Array | pd.Series) -> np.ndarray:
+    """Rows of doubles of one width from a column of binaries."""
+    raw = [v.as_buffer() if isinstance(v, pa.Scalar) else v for v in values]
+    return np.stack([np.frombuffer(v) for v in raw])
 
 
 def _vertices(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, vertices): (vec_id, key) of all, key null if unusable; (key, label, unit, id, many) of distinct usable ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, fine = _unit(batch.column(2))
-            values = [u.tobytes() if f else None for u, f in zip(unit, fine)]
+            values = [None if u is None else u.tobytes() for u in map(_unit, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], ["vec_id", "label", "unit"])
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(
@@ -141,11 +146,9 @@ def _vertices(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _links(vertices: DataFrame) -> DataFrame:
-    """(a, b) with a < b: ids of vertices of one label whose cosine is COSINE or more."""
+    """(id, others, least) of blocks of vertices(id, many, label, unit) of one width: the vectors that id links with there, and the least id that links reach."""
     spark = vertices.sparkSession
     n = vertices.count()
-    if not n:
-        return vertices.select(F.col("id").alias("a"), F.col("id").alias("b"))
     share = min(1.0, 1.2 * SAMPLE_ROWS / n)
     h = F.xxhash64("id")
     sample = (vertices.where(F.pmod(h, F.lit(1 << 31)) < max(1, int(share * (1 << 31)))).select(h.alias("h"), "unit").orderBy("h").limit(SAMPLE_ROWS)
@@ -155,64 +158,65 @@ def _links(vertices: DataFrame) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([np.frombuffer(v.as_buffer()) for v in batch.column(2)]) if batch.num_rows else np.zeros((0, 1))
-            if not len(x):
-                continue
-            near, far, codes, error = index.value.code(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(near.astype(np.int32)), pa.array(far),
-                 pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                ["id", "label", "unit", "list", "far", "codes", "error"])
-
-    coded = materialise(vertices.select("id", "label", "unit").mapInArrow(
-        code, "id long, label string, unit binary, list int, far double, codes binary, error double"), "vector-codes")
+            if batch.num_rows:
+                x = _stacked(batch.column(3))
+                near, _, codes, error = index.value.code(x)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
+                     pa.array(list(index.value.probes(x).astype(np.int32)), pa.list_(pa.int32()))],
+                    ["id", "many", "label", "unit", "list", "codes", "error", "probes"])
+
+    coded = materialise(vertices.select("id", "many", "label", "unit").mapInArrow(
+        code, "id long, many long, label string, unit binary, list int, codes binary, error double, probes array<int>"), "vector-codes")
     sizes = coded.groupBy("label", "list").agg(F.count("*").alias("n"))
-    sizes = materialise(sizes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")), "vector-lists")
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([np.frombuffer(v.as_buffer()) for v in batch.column(2)]) if batch.num_rows else np.zeros((0, 1))
-            if not len(x):
-                continue
-            lists = index.value.probes(x)
-            at = pa.array(np.repeat(np.arange(len(x)), lists.shape[1]))
-            lists = lists.ravel()
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], pa.array(lists.astype(np.int32))],
-                                             ["id", "label", "unit", "list"])
-
-    probes = coded.select("id", "label", "unit").mapInArrow(probe, "id long, label string, unit binary, list int")
+    sizes = materialise(sizes.select("label", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "vector-lists")
     # Members go to one block of their list, queries to all blocks of a list they probe, in slices of their own.
-    lists = sizes.select("label", "list", "blocks")
-    members = coded.join(lists, ["label", "list"]).select(
-        "label", "list", "blocks", "id", "unit", "codes", "error", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    asked = probes.join(lists, ["label", "list"]).select(
-        "label", "list", "blocks", "id", "unit", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("slice"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = coded.withColumn("home", F.col("list")).join(sizes, ["label", "list"])
+    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = members.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = members.unionByName(asked)
+    asked = coded.select("id", "many", "label", "unit", F.col("list").alias("home"), F.explode("probes").alias("list")).join(sizes, ["label", "list"])
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["label", "list", "block", "slice"]
+    both = members.select(*keys, "id", "many", "unit", "home", "codes", "error", "probes").unionByName(
+        asked.select(*keys, "id", "many", "unit", "home"), allowMissingColumns=True)
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame[frame["error"].notna()]
-        ask = frame[frame["error"].isna()]
-        a_out, b_out = [], []
-        if len(own) and len(ask):
-            x = np.stack([np.frombuffer(v) for v in own["unit"]])
-            codes = np.stack([np.frombuffer(v, np.uint8) for v in own["codes"]])
-            ids, error = own["id"].to_numpy(), own["error"].to_numpy()
-            for s in range(0, len(ask), 256):
-                part = ask.iloc[s : s + 256]
-                q, qid = np.stack([np.frombuffer(v) for v in part["unit"]]), part["id"].to_numpy()
-                r, c = index.value.near(q, int(key[1]), codes, error)
-                other = qid[r] != ids[c]
-                r, c = r[other], c[other]
-                fine = np.einsum("ij,ij->i", q[r], x[c]) >= COSINE
-                a_out.append(np.minimum(qid[r[fine]], ids[c[fine]]))
-                b_out.append(np.maximum(qid[r[fine]], ids[c[fine]]))
-        return pd.DataFrame({"a": np.concatenate(a_out) if a_out else np.zeros(0, np.int64),
-                             "b": np.concatenate(b_out) if b_out else np.zeros(0, np.int64)})
-
-    return materialise(both.groupBy("label", "list", "block", "slice").applyInPandas(compare, "a long, b long").distinct(), "vector-links")
+        own, ask = frame[frame["error"].notna()], frame[frame["error"].isna()]
+        if not len(own) or not len(ask):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "others", "least")})
+        x, ids, many = _stacked(own["unit"]), own["id"].to_numpy(), own["many"].to_numpy()
+        codes = np.stack([np.frombuffer(v, np.uint8) for v in own["codes"]])
+        error, probes = own["error"].to_numpy(), np.stack(own["probes"].to_numpy())
+        q, qid, qmany, home = _stacked(ask["unit"]), ask["id"].to_numpy(), ask["many"].to_numpy(), ask["home"].to_numpy()
+        rows, columns = [], []
+        links = [np.zeros(len(ask), np.int64), np.zeros(len(own), np.int64)]
+        for s in range(0, len(ask), 256):
+            r, c = index.value.near(q[s : s + 256], int(key[1]), codes, error)
+            r = r + s
+            other = qid[r] != ids[c]
+            r, c = r[other], c[other]
+            fine = np.einsum("ij,ij->i", q[r], x[c]) >= COSINE
+            r, c = r[fine], c[fine]
+            # The other way round, the member may ask in the query's own list.
+            once = (qid[r] < ids[c]) | ~(probes[c] == home[r][:, None]).any(axis=1)
+            np.add.at(links[0], r[once], many[c[once]])
+            np.add.at(links[1], c[once], qmany[r[once]])
+            pair = np.unique(r * len(ids) + c)
+            rows.append(pair // len(ids))
+            columns.append(pair % len(ids))
+        r, c = np.concatenate(rows), np.concatenate(columns)
+        least = [qid.copy(), ids.copy()]
+        while True:
+            before = least[0].copy(), least[1].copy()
+            np.minimum.at(least[0], r, least[1][c])
+            np.minimum.at(least[1], c, least[0][r])
+            if all((a == b).all() for a, b in zip(before, least)):
+                break
+        out = pd.DataFrame({"id": np.concatenate([qid, ids]), "others": np.concatenate(links), "least": np.concatenate(least)})
+        return out[(out["others"] > 0) | (out["least"] != out["id"])]
+
+    return both.groupBy(*keys).applyInPandas(compare, "id long, others long, least long")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -221,16 +225,17 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     rows, vertices = _vertices(vectors)
     # A copy shares its vertex's id, so one id can stand for several keys only if a vec_id repeats.
     names = vertices.withColumn("vec", F.col("id")).withColumn("id", F.xxhash64("key"))
-    names = materialise(names, "vector-names")
-    found = _links(names.select("id", "label", "unit"))
-    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = (both.join(names.select(F.col("id").alias("b"), F.col("many").alias("weight")), "b")
-              .groupBy("a").agg(F.sum("weight").alias("others")))
-    components = connected_components(found)
+    names = materialise(names.withColumn("width", F.octet_length("unit")), "vector-names")
+    found = names.select("id", F.lit(0).cast("long").alias("others"), F.col("id").alias("least")).limit(0)
+    for width in sorted(r["width"] for r in names.select("width").distinct().toLocalIterator()):
+        found = found.unionByName(_links(names.where(F.col("width") == width).select("id", "many", "label", "unit")))
+    found = materialise(found, "vector-links")
+    others = found.groupBy("id").agg(F.sum("others").alias("others"))
+    components = connected_components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
     placed = (names.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-              .join(others.withColumnRenamed("a", "id"), "id", "left"))
+              .join(others, "id", "left"))
     placed = materialise(placed.select("key", "vec", "many", "component", F.coalesce("others", F.lit(0)).alias("others")), "vector-placed")
-    least = placed.groupBy("component").agg(F.min("vec").alias("component_id"))
+    least = materialise(placed.groupBy("component").agg(F.min("vec").alias("component_id")), "vector-least")
     final = placed.join(least, "component").select("key", "component_id", (F.col("others") + F.col("many") - 1).alias("n_links"))
     return (rows.select("vec_id", "key").join(final, "key", "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
