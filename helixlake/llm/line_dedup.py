@@ -66,8 +66,10 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
         return sums.select("uid", at.alias("at"), F.lit(kind).alias("kind"), "i")
 
     ahead = events(F.col("upto"), 1).union(events(F.col("before") + min_words, 0))
-    nearest = Window.partitionBy("uid").orderBy("at", "kind", "i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ends = (ahead.withColumn("end", F.first(F.when(F.col("kind") == 1, F.col("i")), ignorenulls=True).over(nearest))
+    # Sorted backwards, as a frame that grows is summed as it goes and one that shrinks is not.
+    nearest = (Window.partitionBy("uid").orderBy(F.desc("at"), F.desc("kind"), F.desc("i"))
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = (ahead.withColumn("end", F.last(F.when(F.col("kind") == 1, F.col("i")), ignorenulls=True).over(nearest))
             .where("kind = 0").select("uid", "i", (F.col("end") - F.col("i") + 1).alias("ahead")))
     behind = events(F.col("before"), 0).union(events(F.col("upto") - min_words, 1))
     latest = Window.partitionBy("uid").orderBy("at", "kind", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -96,11 +98,16 @@ def deleted_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         named = (due.join(level.select("uid", F.col("i").alias("at"), F.col("rank").alias("a")), ["uid", "at"])
                  .withColumn("z", F.col("at") + F.col("len") - depth)
                  .join(level.select("uid", F.col("i").alias("z"), F.col("rank").alias("b")), ["uid", "z"]))
+        named = materialise(named.drop("z"), "line-named")
         place = F.struct("doc_id", "t", "uid", "at")
-        firsts = named.groupBy("a", "b", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = (named.join(firsts, ["a", "b", "len"]).where((F.col("first.uid") != F.col("uid")) | (F.col("first.at") != F.col("at")))
+        # Stored first, so that a run which a third of all rows share can be split in the join.
+        firsts = materialise(named.groupBy("a", "b", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+                             .select("a", "b", "len", F.col("first.uid").alias("first_uid"), F.col("first.at").alias("first_at")), "line-firsts")
+        later = (named.join(firsts, ["a", "b", "len"]).where((F.col("first_uid") != F.col("uid")) | (F.col("first_at") != F.col("at")))
                  .select("uid", "at", "len"))
         later = materialise(later, "line-later")
+        discard(named)
+        discard(firsts)
         out = later if out is None else out.union(later)
         if 2 * depth > longest:
             break
@@ -117,20 +124,21 @@ def deleted_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later copies deleted from text, and the columns n_lines and n_deleted (under these names)."""
-    rows = materialise(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-                       .withColumn("uid", F.monotonically_increasing_id()).select("uid", "row", "doc_id", "text")
-                       .drop("doc_id", "text"), "line-rows")
+    """row (docs with the later copies deleted from text), n_lines and n_deleted."""
+    columns = docs.columns
+    rows = materialise(docs.select(F.struct(*columns).alias("row")).withColumn("uid", F.monotonically_increasing_id()), "line-rows")
     keys = rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    gone = deleted_lines(keys, min_words).groupBy("uid").agg(F.collect_list("i").alias("gone"))
-    joined = rows.join(gone, "uid", "left")
-    text = F.col("row.text")
-    parts = F.split(text, "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    n_lines = F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.size(parts))
-    return joined.select(
-        F.col("row").withField("text", F.when(F.col("gone").isNull(), text).otherwise(kept)).alias("row"),
-        n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    gone = deleted_lines(keys, min_words).groupBy("uid").agg(F.sort_array(F.collect_list("i")).alias("gone"))
+    # Texts are split before the join: within it, each stretch that stays is a slice of the lines.
+    joined = rows.select("uid", F.col("row").dropFields("text").alias("rest"), F.split("row.text", "\n").alias("parts")).join(gone, "uid", "left")
+    n = F.size("parts")
+    stretches = F.arrays_zip(F.concat(F.array(F.lit(-1)), "gone").alias("a"), F.concat("gone", F.array(n)).alias("b"))
+    kept = F.flatten(F.transform(stretches, lambda s: F.slice("parts", s.a + 2, s.b - s.a - 1)))
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("parts")).otherwise(kept), "\n")
+    n_lines = F.when(F.col("parts").isNull() | ((n == 1) & (F.get("parts", F.lit(0)) == "")), F.lit(0)).otherwise(n)
+    joined = joined.select("rest", text.alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    row = F.struct(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns])
+    return joined.select(row.alias("row"), "n_lines", "n_deleted")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
