@@ -95,6 +95,9 @@ class Model:
                 scores.append(float(p[i, best]) if best >= 0 else 0.0)
         return names, np.array(scores)
 
+    def accepted(self, names: list[str], scores: np.ndarray) -> np.ndarray:
+        return (np.array(names, object) != UNKNOWN).astype(bool) & (scores >= self.level)
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -169,7 +172,7 @@ def train(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row."""
+    """doc_id, held_out, lang_pred, score and rejected (what ``keep_identified`` drops) of every row."""
     spark = docs.sparkSession
     prepare(spark)
     shipped = spark.sparkContext.broadcast(model)
@@ -177,11 +180,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = shipped.value.predict(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)],
-                                             ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores), pa.array(~shipped.value.accepted(names, scores))],
+                                             ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), (key_crc(4) == 2).alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double")
+        run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -194,7 +197,6 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = shipped.value.predict(batch.column(at))
-            keep = (np.array(names, object) != UNKNOWN) & (scores >= shipped.value.level)
-            yield batch.filter(pa.array(keep.astype(bool)))
+            yield batch.filter(pa.array(shipped.value.accepted(names, scores)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -184,8 +184,8 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, seq_len: int = SE
                 i = j
 
     def cut(enc: Encoder, doc_ids: np.ndarray, texts: list[str]) -> pa.RecordBatch:
-        odd = [k for k, x in enumerate(texts) if any(s in x for s in enc.special)]
-        ids, offsets = enc.encode(["" if k in set(odd) else x for k, x in enumerate(texts)] if odd else texts)
+        odd = {k for k, x in enumerate(texts) if any(s in x for s in enc.special)}
+        ids, offsets = enc.encode(["" if k in odd else x for k, x in enumerate(texts)] if odd else texts)
         rows: list[tuple] = []
         raw = memoryview(ids).cast("B")
         tail = np.array([end_id], np.uint32).tobytes()
@@ -257,16 +257,18 @@ def plan_slots(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, seq_len: int = SEQ_LEN) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = materialise(tokenise(docs, path or tokenizer_path(), end_id, seq_len), "pack-pieces")
+    pieces = tokenise(docs, path or tokenizer_path(), end_id, seq_len).withColumn("row", F.monotonically_increasing_id())
+    pieces = materialise(pieces, "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     groups = max(1, sum(counts.values()) // RANK_GROUP)
     # Rank within length: groups of a length are ranked apart and shifted by the groups before them,
     # so that a length which most pieces share is no single task's work.
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(64 * groups)))
+    # A row's number deals it, so that rows which agree in everything spread too.
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(64 * groups)))
     by = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     base = (pieces.groupBy("length", "group").agg(F.count("*").alias("n"))
             .select("length", "group", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("base")))
-    order = Window.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "group").orderBy("row")
     ranked = (pieces.withColumn("own", F.row_number().over(order) - 1).join(base, ["length", "group"])
               .withColumn("rank", F.col("own") + F.col("base")).drop("own", "base", "group"))
     # At most a few runs for each of seq_len lengths: bounded by seq_len, not by the corpus.
