@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,9 +64,8 @@ def same(a, b):
     assert collections.Counter(a) == collections.Counter(b)
 
 
-def test_line_dedup(docs, table, empty):
-    got = line_dedup.dedup(docs).collect()
-    assert len(got) == len(table)
+def without_repeats(table):
+    """Texts by row after line dedup, by comparing all runs of lines."""
     order = sorted(range(len(table)), key=lambda k: (table[k][0] is not None, table[k][0] or 0))
     seen, want = set(), {}
     for k in order:
@@ -86,24 +89,50 @@ def test_line_dedup(docs, table, empty):
                 gone |= set(range(a, b + 1))
             seen.add(body)
         want[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else table[k][1]
+    return want
+
+
+def near_groups(texts):
+    """A group for each text, by comparing all pairs."""
+    sets = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else None for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if group[a] != group[b] and sets[a] and sets[b] and sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()):
+                group = [group[b] if g == group[a] else g for g in group]
+    return group
+
+
+def cut_pieces(table):
+    """(doc_id, piece, start, length, crc) of rows (doc_id, text), one text at a time."""
+    from tokenizers import Tokenizer
+
+    tok, want = Tokenizer.from_file(packing.tokenizer_path()), []
+    for doc_id, text in table:
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
+        cut = [0] + list(range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)) if len(ids) > 1024 else [0, len(ids)]
+        for piece, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+            want.append((doc_id, piece, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    return want
+
+
+def test_line_dedup(docs, table, empty, spark):
+    got = line_dedup.dedup(docs).collect()
+    assert len(got) == len(table)
+    want = without_repeats([(r[0], r[1]) for r in table])
     same([(r["row"]["doc_id"], r["row"]["text"]) for r in got], [(table[k][0], want[k]) for k in want])
     assert all(r["row"]["uid"] in ("u", None) for r in got)
+    body = "ten words that stand in every one of these lines"
+    long = spark.createDataFrame([(1, "\n".join([body] * 30_000 + ["end"]))], "doc_id long, text string")
+    got = line_dedup.dedup(long).first()
+    assert (got["row"]["text"], got["n_lines"], got["n_deleted"]) == (body + "\nend", 30_001, 29_999)
     left = line_dedup.drop_repeats(docs)
     assert left.columns == docs.columns and left.where("doc_id = 10").count() == 1
     assert line_dedup.dedup(empty).count() == 0
 
 
 def test_packing(docs, table, empty):
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(packing.tokenizer_path())
-    rows = packing.pack(docs).collect()
-    want = []
-    for r in table:
-        ids = tok.encode(r[1] or "", add_special_tokens=False).ids + [2]
-        cut = [0] + list(range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)) if len(ids) > 1024 else [0, len(ids)]
-        for piece, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            want.append((r[0], piece, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    rows, want = packing.pack(docs).collect(), cut_pieces([(r[0], r[1]) for r in table])
     same([(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows], want)
     places = collections.defaultdict(list)
     for r in rows:
@@ -144,6 +173,93 @@ def test_personal_data(docs, spark, empty):
     assert pii.find(empty).count() == 0
 
 
+CONTRACT = ((0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), (1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+            (2, r"[0-9]([\x20-]?[0-9])+"), (3, r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def test_base_spans_are_those_of_the_patterns():
+    def fine(kind, t):
+        digits = [int(c) for c in t if c in "0123456789"]
+        if kind == 1:
+            return all(int(x) <= 255 for x in t.split("."))
+        if kind == 2:
+            check = sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(digits[::-1]))
+            return 14 <= len(digits) <= 19 and check % 10 == 0
+        return kind == 0 or 10 <= len(digits) <= 15
+
+    rng, found = random.Random(3), collections.Counter()
+    pieces = ["a.b", "@", "c.de", "é", " ", "-", "+", "(", ")", ".", "1", "255", "0256", "10.0.0.1", "4111 1111 1111 1111", "4111111111111111", "+1 415 555 26712", "x@y.z", "@@"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        want = sorted(((m.start(), m.end(), kind) for kind, p in CONTRACT for m in re.finditer(p, text) if fine(kind, m.group())), key=lambda s: (s[0], s[2]))
+        assert pii.base_spans(text) == want, text
+        found.update(k for _, _, k in want)
+    assert all(found[k] > 100 for k in range(4))
+
+
+def test_no_text_with_an_address_is_passed_over():
+    rng = random.Random(6)
+    pieces = ["at", "AT", " at ", "[at]", "(at)", " ( at ) ", "dot", " dot ", "[dot]", ".", "x", "é", "\u00a0", " ", "\n", "-", "a1"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    found = [k for k, t in enumerate(texts) if pii._ADDRESS.search(t)]
+    (part,) = kernels.chunks(pa.array(texts))
+    assert len(found) > 100 and set(found) <= pii._spelled(part)
+    # A window is laid at the sign of every such address.
+    assert all(pii.starts(texts[k]) for k in found)
+
+
+def test_decoding_is_exact():
+    r = np.random.RandomState(1)
+    T, first = r.normal(size=(4, 4)), r.normal(size=4)
+    e = r.normal(size=(3, 5, 4))
+    size = np.array([5, 3, 1])
+    got = pii.viterbi(e, T, first, size)
+    for row, n, tags in zip(e, size, got):
+        paths = list(itertools.product(range(4), repeat=int(n)))
+        value = np.array([first[p[0]] + sum(row[t, p[t]] for t in range(n)) + sum(T[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        assert tuple(tags[:n]) == paths[value.argmax()]
+        share = np.exp(value - value.max()) / np.exp(value - value.max()).sum()
+        node = pii.marginals(row[None, :n], T, first)[0][0]
+        assert np.allclose(node, [[share[[p[t] == k for p in paths]].sum() for k in range(4)] for t in range(n)])
+
+
+def test_windows_are_reconciled_by_weighted_means():
+    tagger = pii.Tagger()
+    text = "x" * 10 + "12" * 70 + "y" * 200 + " jane at mail dot example dot org " + "z" * 90
+    parts = pii.stretches(tagger, [text, "", "7"])
+    assert [k for k, _, _ in parts] == [0, 0, 2]
+    ids, place = pii.symbols(text), pii.starts(text)
+    for k, a, e in parts[:2]:
+        total, weight = np.zeros((len(e), pii.TAGS)), np.zeros(len(e))
+        for s in place:
+            if a <= s < a + len(e):
+                own = tagger.emissions(np.pad(ids[s : s + pii.WINDOW], (0, max(0, s + pii.WINDOW - len(ids))), constant_values=1)[None])[0]
+                for t in range(min(pii.WINDOW, a + len(e) - s)):
+                    w = min(t + 1, pii.WINDOW - t)
+                    total[s - a + t] += w * own[t]
+                    weight[s - a + t] += w
+        assert np.allclose(e, total / weight[:, None])
+
+
+def test_tagger_finds_other_spellings():
+    rng, texts = random.Random(7), []
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    for _ in range(500):
+        texts.append(f"{prose(8)} {name()}.{name()}@{name()}.org {prose(6)} +{rng.randint(1, 9)} {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)} {prose(8)} {rng.randint(1, 99)}")
+    tagger = pii.train(texts)
+    hits, held = 0, 60
+    for _ in range(held):
+        body = f"{prose(9)} {name()} [at] {name()} [dot] org {prose(9)}"
+        spans = pii.added_spans(tagger, [body], [pii.base_spans(body)])[0]
+        hits += any(k == 0 and "[at]" in body[a:b] for a, b, k in spans)
+    assert hits >= 0.7 * held
+    clean = [prose(60) for _ in range(50)]
+    assert not any(pii.added_spans(tagger, clean, [[]] * 50))
+    began = time.time()
+    pii.added_spans(tagger, ["1234567890 " * 100_000], [[]])
+    assert time.time() - began < 120
+
+
 def test_personal_data_gradient():
     t, r = pii.Tagger(), np.random.RandomState(0)
     ids, tags = r.randint(0, pii.SYMBOLS, (2, 7)), r.randint(0, pii.TAGS, (2, 7))
@@ -181,6 +297,29 @@ def test_vectors(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_vectors_in_many_lists_and_blocks(spark, monkeypatch):
+    """Recall against brute force where lists are small, links are dense, widths differ and vec_ids repeat."""
+    monkeypatch.setattr(vector_dedup, "LIST_ROWS", 12)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 20)
+    r = np.random.RandomState(4)
+    centres = r.normal(size=(25, 24))
+    rows = [(i, list(map(float, centres[i % 25] + r.normal(size=24) * r.choice([0.1, 0.28])))) for i in range(500)]
+    rows += [(1000 + i, list(map(float, np.ones(16) + r.normal(size=16) * 0.01))) for i in range(60)] + [(2000, [1.0] * 400), (2001, [1.0]), (2002, [-3.0]), (2003, [7.0])]
+    rows += [rows[3], rows[3], rows[7]]
+    table = spark.createDataFrame([(i, v, "x", "clash", 5) for i, v in rows], "vec_id long, embedding array<double>, label string, id string, list int").repartition(4)
+    got = collections.defaultdict(set)
+    for x in vector_dedup.near_duplicates(table).collect():
+        got[x["vec_id"]].add((x["n_links"], x["component_id"]))
+    units = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [[a != b and len(units[a]) == len(units[b]) and units[a] @ units[b] >= 0.93 for b in range(len(rows))] for a in range(len(rows))]
+    want = {rows[a][0]: sum(near[a]) for a in range(len(rows))}
+    assert all(len(x) == 1 for x in got.values()) and set(got) == set(want)
+    links = {i: next(iter(x))[0] for i, x in got.items()}
+    assert all(links[i] <= want[i] for i in want)
+    assert sum(links.values()) >= 0.97 * sum(want.values()) > 5000
+    assert all(links[1000 + i] == 59 and next(iter(got[1000 + i]))[1] == 1000 for i in range(60)) and (links[2001], links[2002], links[2003]) == (1, 0, 1)
+
+
 def test_language(docs, table, empty, spark):
     de = " ".join(RNG.choice(["über", "nicht", "und", "schön", "die"]) for _ in range(9))
     rows = [(1000 + i, de if i % 2 else prose(30), "de" if i % 2 else "en") for i in range(80)]
@@ -197,6 +336,20 @@ def test_language(docs, table, empty, spark):
     assert langid.identify(empty, langid.train(empty)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_language_of_held_out_documents(spark):
+    """Accuracy on documents that were not learnt from, and a rejection that costs few right answers."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r["doc_id"]: r["lang"] for r in table.select("doc_id", "lang").collect()}
+    got = [r for r in langid.identify(table, langid.train(table)).collect() if r["held_out"] and truth[r["doc_id"]] and r["lang_pred"] != "und"]
+    right = [r["lang_pred"] == truth[r["doc_id"]] for r in got]
+    assert len(got) > 150 and np.mean(right) > 0.97
+    assert np.mean([r["rejected"] for r, ok in zip(got, right) if ok]) < 0.02
+    model = langid.fit(["aa bb cc " * 9] * 40 + ["xx yy zz " * 9] * 40, ["l"] * 40 + ["m"] * 40)
+    names, scores = model.predict(pa.array(["aa bb cc", "xx yy zz", "aa bb xx yy", "1", None]))
+    assert names[:2] == ["l", "m"] and list(model.accepted(names, scores)[[0, 1, 3, 4]]) == [True, True, False, False]
+
+
 def test_mixing(docs, table, empty):
     got = mixing.mix_report(docs).collect()
     assert len(got) == len(table)
@@ -260,6 +413,50 @@ def test_long_repeat_is_reported_whole(spark):
     assert (2, 10, 1000, 1, 20) in got
 
 
+def test_common_prefixes_against_brute_force():
+    rng = random.Random(3)
+    rows = sorted({(rng.randint(0, 2), bytes(x for _ in range(rng.randint(0, 24)) for x in (0, rng.randint(0, 1), 0, 0))) for _ in range(400)})
+    got = suffix_dedup.common_prefixes(np.array([k for k, _ in rows]), pa.array([n for _, n in rows], pa.binary()))
+    assert got[0] == 0
+    for (k, a), (m, b), common in zip(rows, rows[1:], got[1:]):
+        words = [[x[i : i + 4] for i in range(0, len(x), 4)] for x in (a, b)]
+        want = next((i for i, (x, y) in enumerate(zip(*words)) if x != y), min(map(len, words)))
+        assert common == (suffix_dedup.KEY + want if k == m else 0)
+
+
+@pytest.mark.parametrize("rows", [40_000, 30])
+def test_passages_against_brute_force(spark, monkeypatch, rows):
+    """Every window of 50 words that occurs before, in one sorted partition and across many."""
+    monkeypatch.setattr(suffix_dedup, "SORTED_ROWS", rows)
+    rng = random.Random(5)
+    own = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    passages, texts = [own(rng.randint(50, 200)) for _ in range(6)], []
+    for _ in range(120):
+        t = own(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages)
+            a = rng.randint(0, len(p) - 26)
+            a, b = (0, len(p)) if rng.random() < 0.5 else (a, rng.randint(a + 26, len(p)))
+            t += p[a:b] + own(rng.randint(0, 30))
+        texts.append(t)
+    texts += [texts[3], texts[4], texts[5] * 2]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    text = dict(zip(ids, texts))
+    table = spark.createDataFrame([(i, " ".join(t), "k", 1) for i, t in text.items()], "doc_id long, text string, key string, pos int").repartition(5)
+    got, seen, want = collections.defaultdict(set), set(), collections.defaultdict(set)
+    for r in suffix_dedup.repeat_report(table).collect():
+        a, b, n = r["start_word"], r["source_start_word"], r["n_words"]
+        assert n >= 50 and text[r["doc_id"]][a : a + n] == text[r["source_doc_id"]][b : b + n] and (r["source_doc_id"], b) < (r["doc_id"], a)
+        got[r["doc_id"]] |= set(range(a, a + n))
+    for i in sorted(text):
+        for k in range(len(text[i]) - 49):
+            if (window := tuple(text[i][k : k + 50])) in seen:
+                want[i] |= set(range(k, k + 50))
+            seen.add(window)
+    assert len(want) > 50 and got == want
+
+
 def test_every_repeat_selects_a_common_position():
     body = np.array([RNG.getrandbits(63) for _ in range(50)], np.uint64)
     for _ in range(20):
@@ -281,7 +478,7 @@ def test_context_tree(docs, table, empty):
         base = sum(np.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own) + np.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))
         assert r["n_tokens"] == len(own) + 1 and r["n_known"] == sum(w in counts for w in own) + 1 and r["train_tokens"] == total
         assert abs(r["base_score"] - base) < 1e-6 and r["score"] < 0
-    shards = {(r["doc_id"], round(r["score"], 6), round(r["base_score"], 6)) for r in ctw.score(docs, langid.key_crc(5) != 1, shard_rows=2_000).collect()}
+    shards = {(r["doc_id"], round(r["score"], 6), round(r["base_score"], 6)) for r in ctw.score(docs, langid.key_crc(5) != 1, chunk_bytes=20_000).collect()}
     assert shards == {(r["doc_id"], round(r["score"], 6), round(r["base_score"], 6)) for r in got}
     assert ctw.score_report(empty).count() == 0
 
@@ -325,26 +522,15 @@ def test_context_tree_mixes_contexts_seen_once(spark):
         want.append(total)
     rows = [(i, t) for i, t in enumerate(training + held)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for shard_rows in (ctw.SHARD_ROWS, 300):
-        got = {r["doc_id"]: r["score"] for r in ctw.score(table, F.col("doc_id") < len(training), shard_rows=shard_rows).collect()}
-        assert np.allclose([got[len(training) + i] for i in range(len(held))], want, atol=1e-4)
-
-
-def test_context_tree_is_a_distribution():
-    shard = ctw.Shard(0, 1, np.array([1, 2, 3], np.uint64), np.array([0.2, 0.7, 0.4]), np.zeros(0, np.uint64), np.zeros(0), 0, 0, 0, 2)
-    shard.open()
-    assert abs((10 ** shard._walk(np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-9
+    for chunk_bytes in (ctw.CHUNK_BYTES, 10):
+        got = {r["doc_id"]: r["score"] for r in ctw.score(table, F.col("doc_id") < len(training), chunk_bytes).collect()}
+        assert np.allclose([got[len(training) + i] for i in range(len(held))], want, atol=1e-9)
 
 
 def test_near_duplicates(docs, table, empty):
     got = dartminhash.class_report(docs).collect()
     assert len(got) == len(table)
-    sets = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(r[1])) else None for r in table]
-    group = list(range(len(table)))
-    for a in range(len(table)):
-        for b in range(a):
-            if sets[a] and sets[b] and sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()):
-                group = [group[b] if g == group[a] else g for g in group]
+    group = near_groups([r[1] for r in table])
     ids = collections.defaultdict(list)
     for g, r in zip(group, table):
         ids[g].append(r[0])
@@ -386,6 +572,36 @@ def test_fingerprints(docs, table, empty, spark):
     assert fingerprint.edit_report(empty).count() == 0
 
 
+def test_fingerprint_likeness_estimates_shared_pairs(spark):
+    rng = random.Random(8)
+    rows, want = [], []
+    for k in range(150):
+        own = [[f"w{rng.getrandbits(30)}" for _ in range(rng.randint(2, 40))] for _ in range(20)]
+        other = own[: k % 21] + [[f"w{rng.getrandbits(30)}" for _ in line] for line in own[k % 21 :]]
+        pairs = [collections.Counter((a, b) for line in t for a, b in zip(line, line[1:] + [None])) for t in (own, other)]
+        square = [sum(v * v for v in c.values()) for c in pairs]
+        want.append(2 * sum(pairs[0][x] * pairs[1][x] for x in pairs[0]) / sum(square))
+        rows.append((k, *["\n".join(" ".join(line) for line in rng.sample(t, len(t))) for t in (own, other)]))
+    both = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    prints = [{r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(both.select("doc_id", F.col(c).alias("text"))).collect()} for c in "ab"]
+    table = spark.createDataFrame([(k, prints[0][k], prints[1][k]) for k in range(150)], "doc_id long, a string, b string")
+    (_, n1, c1), (_, n2, c2) = fingerprint.parse(table.a), fingerprint.parse(table.b)
+    got = {r["doc_id"]: r["x"] for r in table.select("doc_id", fingerprint.likeness(n1, c1, n2, c2).alias("x")).collect()}
+    off = np.array([got[k] - want[k] for k in range(150)])
+    assert np.sqrt((off**2).mean()) < 0.1 and np.abs(off).max() < 0.35 and abs(off.mean()) < 0.05
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    """Counters go round, and texts that share nothing still look different."""
+    rng = random.Random(9)
+    rows = [(k, "\n".join(" ".join(str(rng.getrandbits(36)) for _ in range(500)) for _ in range(5_000))) for k in range(2)]
+    (a, b) = [r["fingerprint"] for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    table = spark.createDataFrame([(a, b)], "a string, b string")
+    (_, n1, c1), (_, n2, c2) = fingerprint.parse(table.a), fingerprint.parse(table.b)
+    r = table.select(n1.alias("n"), fingerprint.likeness(n1, c1, n2, c2).alias("apart"), fingerprint.likeness(n1, c1, n1, c1).alias("same")).first()
+    assert r["n"] == 2_500_000 and r["apart"] < 0.4 and r["same"] == 1
+
+
 def test_hash_table():
     keys = np.unique(np.random.RandomState(1).randint(0, 2**62, 5000).astype(np.uint64))
     t = kernels.HashTable(keys)
