@@ -8,12 +8,16 @@ both LSTM directions, the emission layer and the CRF's transitions are trained
 in NumPy by Adam on the negative log likelihood.
 
 Every text is searched as a whole.  Windows of WINDOW code points, HOP apart,
-are laid wherever the text has a digit, an ``@`` or a spelled-out address, as
-every kind has one of these.  The emissions of overlapping windows are averaged
-(centres weigh most) and one Viterbi pass over each joined stretch reconciles
-them, so no window border cuts a span.  A decoded span is added if the model's
-confidence in it is MIN_CONFIDENCE, it passes its kind's checks with separators
-removed, and no base span overlaps it; base spans always stay.
+are laid wherever the text has a digit, an ``@`` or an ``at`` between what can
+be a name and a host.  A span that is added passes its kind's checks
+(``plausible``), and none passes without one of these, so a text without them
+has nothing to find; windows reach MARGIN cells beyond a written-out sign.  The
+emissions of overlapping windows are averaged (centres weigh most) and one
+Viterbi pass over each stretch of windows that touch reconciles them, so no
+window border cuts a span.  A decoded span is added if the model's confidence in
+it, from the posteriors of the AROUND code points at either side, is
+MIN_CONFIDENCE, it passes the checks, and no base span overlaps it; base spans
+always stay.
 
 Defined results: null is the empty text, without spans; positions are code
 points, ends exclusive; repeated rows get equal answers; without training texts
@@ -38,7 +42,11 @@ from helixlake.llm.common import prepare, text_of
 KINDS = ("email", "ip", "card", "phone")
 #: Texts with a trigger that the tagger is trained on at most, chosen by hash, and windows of them.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 1_500, 3_000
-WINDOW, HOP = 64, 32
+#: Code points, from 1,000 before the first digit or @ on, that a training text is cut to, and its windows at most.
+SAMPLE_CHARS, SAMPLE_TEXT_WINDOWS = 3_000, 12
+WINDOW, HOP, MARGIN, AROUND = 64, 32, 2, 48
+#: Code points by tags that are decoded at a time.
+CELLS = 400_000
 EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 20, 5, 48, 0.01
 MIN_CONFIDENCE = 0.9
 TAGS = 1 + 2 * len(KINDS)
@@ -49,7 +57,13 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SPELLED = re.compile(r"[\[(\s]at[\])\s]+[A-Za-z0-9-]+[\[(\s]+dot[\])\s]", re.I)
+_DOT = r"(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)"
+_ADDRESS = re.compile(rf"[\w.%+-]+(?:\s*@\s*|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+)[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+#: What follows the name in an address without @, in lower case; it begins with letters, which are found fast.
+_SPELLED = re.compile(rf"at(?:\s*[\])]\s*|\s+)[\w-]+{_DOT}[\w-]")
+#: The same over UTF-8, where bytes of other characters may be anything: finds the texts to look at.
+_MAYBE = re.compile(rb"at(?:[\s\x80-\xff]*[\])][\s\x80-\xff]*|[\s\x80-\xff]+)[\w\x80-\xff-]+"
+                    rb"(?:\.|[\s\x80-\xff]*[\[(][\s\x80-\xff]*dot[\s\x80-\xff]*[\])][\s\x80-\xff]*|[\s\x80-\xff]+dot[\s\x80-\xff]+)[\w\x80-\xff-]")
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), 64]] = True
 
@@ -98,7 +112,7 @@ def plausible(text: str, kind: int) -> bool:
     """The checks of a kind for a span in another spelling."""
     d = _digits(text)
     if kind == 0:
-        return re.fullmatch(r"[\w.%+-]+\s*(?:@|[\[(]?\s*at\s*[\])]?)\s*[\w-]+(?:\s*(?:\.|[\[(]?\s*dot\s*[\])]?)\s*[\w-]+)+", text, re.I) is not None
+        return _ADDRESS.fullmatch(text) is not None
     if kind == 1:
         parts = re.split(r"\s*\.\s*", text)
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -232,28 +246,33 @@ def marginals(e: np.ndarray, T: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     return np.exp(fw + bw - z[:, None, None]), edge, z
 
 
-def viterbi(e: np.ndarray, T: np.ndarray, first: np.ndarray) -> np.ndarray:
-    n = len(e)
-    score, back = first + e[0], np.zeros((n, e.shape[1]), np.int64)
+def viterbi(e: np.ndarray, T: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Best tags of each row of (batch, n, tags), of which the first size places count."""
+    b, n, k = e.shape
+    score, back = first + e[:, 0], np.empty((b, n, k), np.int8)
     for t in range(1, n):
-        total = score[:, None] + T
-        back[t] = total.argmax(0)
-        score = total.max(0) + e[t]
-    out = np.empty(n, np.int64)
-    out[-1] = score.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+        total = score[:, :, None] + T
+        back[:, t] = total.argmax(1)
+        score = np.where((t < size)[:, None], total.max(1) + e[:, t], score)
+    out, rows = np.zeros((b, n), np.int64), np.arange(b)
+    now = score.argmax(1)
+    for t in range(n - 1, -1, -1):
+        out[:, t] = np.where(t < size, now, 0)
+        if t:
+            now = np.where(t < size, back[rows, t, now], now)
     return out
 
 
 def starts(text: str) -> list[int]:
-    """Starts of the windows: all HOP apart that contain a trigger."""
+    """Starts of the windows: all HOP apart that contain a trigger, and more around an @ or a written-out sign."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.flatnonzero(((cp >= 48) & (cp < 58)) | (cp == 64))
-    if "dot" in text or "DOT" in text or "Dot" in text:
-        at = np.concatenate([at, [m.start() for m in _SPELLED.finditer(text)]]).astype(np.int64)
-    cells = np.unique(at // HOP)
-    return sorted({c * HOP for x in cells.tolist() for c in (x - 1, x) if c >= 0})
+    digits = np.unique(np.flatnonzero((cp >= 48) & (cp < 58)) // HOP)
+    signs = np.flatnonzero(cp == 64)
+    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only: places stay
+    signs = np.concatenate([signs, [m.start() for m in _SPELLED.finditer(lower)]]).astype(np.int64)
+    signs = np.unique(signs // HOP)
+    cells = np.concatenate([digits - 1, digits, *[signs + d for d in range(-MARGIN, MARGIN)]])
+    return (np.unique(cells[(cells >= 0) & (cells * HOP < len(cp))]) * HOP).tolist()
 
 
 def _padded(ids: np.ndarray, a: int) -> np.ndarray:
@@ -280,7 +299,8 @@ def _respelled(text: str, spans: list[tuple[int, int, int]], random: np.random.R
             continue
         own = text[a:b]
         if kind == 0:
-            at, dot = ((" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "))[random.randint(3)]
+            at = (" at ", " [at] ", " (at) ", "[at]", "(at)")[random.randint(5)]
+            dot = (" dot ", " [dot] ", " (dot) ", ".", "[dot]")[random.randint(5)]
             own = own.replace("@", at).replace(".", dot)
         elif kind == 2:
             d = _digits(own)
@@ -304,7 +324,7 @@ def train(texts: list[str], seed: int = 3) -> Tagger | None:
         for body, labelled in versions:
             symbol, tag = symbols(body), _labels(len(body), labelled)
             near = starts(body) + [max(0, a - random.randint(HOP)) for a, _, _ in labelled]
-            for a in near[:12] if len(near) <= 12 else [near[i] for i in random.choice(len(near), 12, replace=False)]:
+            for a in near if len(near) <= SAMPLE_TEXT_WINDOWS else [near[i] for i in random.choice(len(near), SAMPLE_TEXT_WINDOWS, replace=False)]:
                 ids.append(_padded(symbol, a))
                 own = np.zeros(WINDOW, np.int64)
                 part = tag[a : a + WINDOW]
@@ -318,65 +338,90 @@ def train(texts: list[str], seed: int = 3) -> Tagger | None:
     return tagger
 
 
-def added_spans(tagger: Tagger, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """What the tagger adds to the base spans of each text."""
-    places = [starts(t) for t in texts]
-    flat = [(k, a) for k, own in enumerate(places) for a in own]
+def _together(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in rows, (batch, n, tags) and sizes: rows of about one length as one array, about CELLS at a time."""
+    order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+    while order:
+        n, many = len(rows[order[-1]]), 1
+        while many < len(order) and (many + 1) * n * TAGS <= CELLS and 2 * len(rows[order[-many - 1]]) >= n:
+            many += 1
+        own, order = order[-many:], order[:-many]
+        out = np.zeros((many, n, TAGS))
+        for i, k in enumerate(own):
+            out[i, : len(rows[k])] = rows[k]
+        yield np.array(own), out, np.array([len(rows[k]) for k in own])
+
+
+def stretches(tagger: Tagger, texts: list[str]) -> list[tuple[int, int, np.ndarray]]:
+    """(text, start, emissions) of each stretch of windows that touch, emissions averaged where windows overlap."""
     ids = [symbols(t) for t in texts]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    flat = [(k, a) for k, t in enumerate(texts) for a in starts(t)]
     weight = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(float)
-    at = 0
-    T, first = tagger.p["T"], tagger.p["first"]
-    stretch: tuple[int, int, np.ndarray, np.ndarray] | None = None  # text, start, summed emissions, weights
-
-    def close() -> None:
-        k, a, total, w = stretch
-        n = min(len(w), len(texts[k]) - a)
-        e = total[:n] / w[:n, None]
-        tags = viterbi(e, T, first)
-        begin = np.flatnonzero((tags % 2 == 1))
-        if not len(begin):
-            return
-        sure = marginals(e[None], T, first)[0][0]
-        for i in begin.tolist():
-            j = i + 1
-            while j < n and tags[j] == tags[i] + 1:
-                j += 1
-            kind = int(tags[i] - 1) // 2
-            if sure[np.arange(i, j), tags[i:j]].mean() < MIN_CONFIDENCE:
-                continue
-            body = texts[k][a + i : a + j]
-            s = a + i + len(body) - len(body.lstrip())
-            body = body.strip()
-            if plausible(body, kind) and not any(x < s + len(body) and s < y for x, y, _ in bases[k]):
-                out[k].append((s, s + len(body), kind))
-
-    while at < len(flat):
+    out: list[list] = []  # text, start, summed emissions, weights
+    owner = []
+    for i, (k, a) in enumerate(flat):
+        if not i or flat[i - 1][0] != k or a > flat[i - 1][1] + WINDOW:
+            out.append([k, a, a])
+        out[-1][2] = min(a + WINDOW, len(texts[k]))
+        owner.append(len(out) - 1)
+    out = [[k, a, np.zeros((b - a, TAGS)), np.zeros(b - a)] for k, a, b in out]
+    for at in range(0, len(flat), 1024):
         batch = flat[at : at + 1024]
-        e = tagger.emissions(np.stack([_padded(ids[k], a) for k, a in batch]))
-        for (k, a), own in zip(batch, e):
-            if stretch is None or stretch[0] != k or a > stretch[1] + len(stretch[3]) - HOP:
-                if stretch is not None:
-                    close()
-                stretch = (k, a, np.zeros((0, TAGS)), np.zeros(0))
-            end = a - stretch[1] + WINDOW
-            total = np.concatenate([stretch[2], np.zeros((end - len(stretch[3]), TAGS))])
-            w = np.concatenate([stretch[3], np.zeros(end - len(stretch[3]))])
-            total[end - WINDOW :] += own * weight[:, None]
-            w[end - WINDOW :] += weight
-            stretch = (k, stretch[1], total, w)
-        at += len(batch)
-    if stretch is not None:
-        close()
+        e = tagger.emissions(np.stack([_padded(ids[k], a) for k, a in batch])) * weight[:, None]
+        for (_, a), own, mine in zip(batch, e, owner[at : at + 1024]):
+            _, start, total, w = out[mine]
+            part = slice(a - start, a - start + WINDOW)
+            n = len(w[part])
+            total[part] += own[:n]
+            w[part] += weight[:n]
+    return [(k, a, total / w[:, None]) for k, a, total, w in out]
+
+
+def added_spans(tagger: Tagger, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+    """What the tagger adds to the base spans of each text."""
+    T, first = tagger.p["T"], tagger.p["first"]
+    found: list[tuple[int, int, int, int, np.ndarray]] = []  # text, start, end, kind, emissions around
+    lead: list[tuple[int, int, int]] = []  # its place there, its first tag
+    parts = stretches(tagger, texts)
+    for own, e, size in _together([x[2] for x in parts]):
+        for i, tags in zip(own.tolist(), viterbi(e, T, first, size)):
+            k, a, emitted = parts[i]
+            for s in np.flatnonzero(tags % 2 == 1).tolist():
+                t = s + 1
+                while t < len(tags) and tags[t] == tags[s] + 1:
+                    t += 1
+                # What a check or a base span rules out needs no posterior.
+                kind, body = int(tags[s] - 1) // 2, texts[k][a + s : a + t]
+                x = a + s + len(body) - len(body.lstrip())
+                body = body.strip()
+                if plausible(body, kind) and not any(x < q and p < x + len(body) for p, q, _ in bases[k]):
+                    low = max(0, s - AROUND)
+                    found.append((k, x, x + len(body), kind, emitted[low : t + AROUND].copy()))
+                    lead.append((s - low, t - low, int(tags[s])))
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for own, e, size in _together([x[4] for x in found]):
+        for i, row, n in zip(own.tolist(), e, size.tolist()):
+            s, t, tag = lead[i]
+            sure = marginals(row[None, :n], T, first)[0][0]
+            if np.concatenate([sure[s : s + 1, tag], sure[s + 1 : t, tag + 1]]).mean() >= MIN_CONFIDENCE:
+                out[found[i][0]].append(found[i][1:4])
     return out
 
 
+def _spelled(part: kernels.Texts) -> set[int]:
+    """The texts that may have an address without @."""
+    low, ends = kernels.LOWER[part.data].tobytes(), part.offsets.tolist()
+    whole = b"\0".join(low[a:b] for a, b in zip(ends, ends[1:]))
+    at = np.array([m.start() for m in _MAYBE.finditer(whole)], np.int64)
+    return set((np.searchsorted(part.offsets + np.arange(part.n + 1), at, "right") - 1).tolist())
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
 
 
 def find(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans (all) and n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans (all), n_added and n_spans (all)."""
     spark = docs.sparkSession
     prepare(spark)
     h = F.xxhash64("doc_id", "text")
@@ -386,29 +431,25 @@ def find(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     first = F.regexp_instr("text", F.lit("[0-9@]"))
     begin = F.greatest(first - 1000, F.lit(1))
     sample = (marked.where(F.pmod(h, F.lit(1 << 31)) < max(1, int(share * (1 << 31))))
-              .select(h.alias("h"), F.substr("text", begin, F.lit(3000)).alias("text")).orderBy("h", "text").limit(sample_rows).collect())
+              .select(h.alias("h"), F.substr("text", begin, F.lit(SAMPLE_CHARS)).alias("text")).orderBy("h", "text").limit(sample_rows).collect())
     shipped = spark.sparkContext.broadcast(train([r["text"] for r in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.chunks(batch.column(1)):
-                marks = np.concatenate([[0], np.cumsum(_TRIGGER[part.data], dtype=np.int64)])[part.offsets]
-                texts = {}
-                for k in range(part.n):
-                    raw = part.data[part.offsets[k] : part.offsets[k + 1]].tobytes()
-                    if marks[k + 1] > marks[k] or b"dot" in raw.lower():
-                        texts[k] = raw.decode("utf-8")
-                base = {k: base_spans(t) for k, t in texts.items()}
+                marks = np.diff(np.concatenate([[0], np.cumsum(_TRIGGER[part.data], dtype=np.int64)])[part.offsets])
+                texts = {k: part.data[part.offsets[k] : part.offsets[k + 1]].tobytes().decode("utf-8") for k in sorted({*np.flatnonzero(marks).tolist(), *_spelled(part)})}
+                base = {k: base_spans(t) if marks[k] else [] for k, t in texts.items()}
                 more = dict(zip(texts, added_spans(shipped.value, list(texts.values()), list(base.values())))) if shipped.value else {}
                 rows = []
                 for k in range(part.n):
                     own, extra = base.get(k, []), more.get(k, [])
                     rows.append((*[sum(s[2] == kind for s in own) for kind in range(len(KINDS))],
-                                 hashlib.sha256(joined(own).encode()).hexdigest(), joined(own + extra), len(extra)))
+                                 hashlib.sha256(joined(own).encode()).hexdigest(), joined(own + extra), len(extra), len(own) + len(extra)))
                 cols = list(zip(*rows))
-                types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+                types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), *[pa.array(c, t) for c, t in zip(cols, types)]],
-                                                 ["doc_id", *[f"n_{x}" for x in KINDS], "base_sha256", "spans", "n_added"])
+                                                 ["doc_id", *[f"n_{x}" for x in KINDS], "base_sha256", "spans", "n_added", "n_spans"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
