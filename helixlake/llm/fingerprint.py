@@ -1,20 +1,24 @@
 """Homomorphic multiset fingerprints of documents (DataFrame functions only).
 
-A paragraph (a line of the text) maps to a wide vector: six 40-bit words hashed
-from all of it, and 63 counters to which each pair of neighbouring words adds
-hashed bits.  A document's fingerprint is the sum of its paragraphs' vectors,
-the words modulo 2^40 and the counters modulo 2^20: the order of paragraphs
-does not matter, and inserting or deleting one adds or subtracts its vector
-(``combine``).  The words decide equality.  The counters estimate how much two
-documents share: their inner product over the mean of their squares.
+A paragraph (a line of the text) maps to a wide vector: six 40-bit words, each
+hashed from all of it under a seed of its own, and 128 counters to which each
+word with the one after it in the line adds hashed bits.  A document's
+fingerprint is the sum of its paragraphs' vectors, the words modulo 2^40 and the
+counters modulo 2^20: the order of paragraphs does not matter, and inserting or
+deleting one adds or subtracts its vector (``combine``).  The words decide
+equality.  The counters estimate how much two documents share: their inner
+product, each less half the number of pairs, over the mean of their squares.
+For texts of a few hundred words the estimate's standard error is about 0.09.
 
 Fingerprints are strings: six words of 10 hex digits, the number of pairs (16)
-and 63 counters of 5, so they can be stored, combined and compared alone.
+and 128 counters of 5, so they can be stored, combined and compared alone.
 
 Defined results: null is the empty text, which is one empty paragraph; likeness
-is 1 for two texts without pairs and 0 if only one has none; equal doc_ids are
-ordered by text; null doc_ids come last; an empty table gives an empty result;
-columns other than doc_id and text are not read.
+is 1 for two texts without pairs and 0 if only one has none; a counter is told
+from its remainder as long as its bits are set 2^19 times more or less often
+than half the pairs; equal doc_ids are ordered by text; null doc_ids come last;
+rows of one doc_id, and those without, are one task's sort; an empty table gives
+an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixlake.functions.sequence import bound
 from helixlake.llm.common import text_of
 
 WORDS, WORD_BITS = 6, 40
-COUNTERS, COUNTER_BITS = 63, 20
-#: Pairs summed in one go; three 20-bit counters share a long, which so many cannot overflow.
-TILE_BITS = 19
+COUNTERS, COUNTER_BITS = 128, 20
+#: Counters that share a long while bits are summed, and words summed in one go, which a lane can't overflow.
+LANES, TILE_BITS = 4, 14
 #: Documents in a range of doc_id, and the most ranges; longer ranges sort on disk.
 RANGE_ROWS, MOST_RANGES = 500, 20_000
 
@@ -39,39 +44,41 @@ def _word_sums(paragraphs: Column) -> list[Column]:
 
     def one(i: int) -> Column:
         return F.aggregate(paragraphs, F.lit(0).cast("long"),
-                           lambda a, p: (a + F.xxhash64(p, F.lit(i)).bitwiseAND(mask)).bitwiseAND(mask))
+                           lambda a, p: (a + F.xxhash64(F.lit(i), p).bitwiseAND(mask)).bitwiseAND(mask))
 
     return [one(i) for i in range(WORDS)]
 
 
-def _packed(h: str, j: int) -> Column:
-    """Three bits of the hash, each in a 20-bit lane of a long."""
-    return F.expr(f"(shiftright({h}, {3 * j}) & 1L) | shiftleft(shiftright({h}, {3 * j + 1}) & 1L, 20)"
-                  f" | shiftleft(shiftright({h}, {3 * j + 2}) & 1L, 40)")
+def _packed(j: int) -> Column:
+    """Four bits of the 128 hashed ones, each in a 16-bit lane of a long."""
+    h, first = ("g", LANES * j) if LANES * j < 64 else ("h", LANES * j - 64)
+    # Copies of the four bits, 15 places apart, have one bit each under the lanes' lowest places.
+    copies, lowest = (sum(1 << step * k for k in range(LANES)) for step in (15, 16))
+    return F.expr(f"(shiftright({h}, {first}) & 15L) * {copies}L & {lowest}L")
 
 
 def _sketches(rows: DataFrame, keys: list[str], kept: list[str], text: str) -> DataFrame:
     """Adds words (array), pairs and counters (array) of the text of each row; keys identify the rows.
 
     kept are other long columns to carry.  Long values only, so that the sums
-    run in a hash aggregate; tiles keep the lanes of very long texts apart.
+    run in a hash aggregate; tiles go by the place in the text and keep the
+    lanes of very long texts apart.
     """
     words = [f"w{i}" for i in range(WORDS)]
-    paragraphs = F.split(F.col(text), "\n")
-    out = rows.select(*keys, *kept, *[c.alias(w) for c, w in zip(_word_sums(paragraphs), words)], paragraphs.alias("ps"))
-    out = out.select(*keys, *kept, *words, F.explode("ps").alias("p"))
-    tokens = F.split("p", r"[\x20\x09-\x0D]+")
-    out = out.select(*keys, *kept, *words, tokens.alias("t"))
+    # A line's end is a token of its own, which no pair goes across.
+    tokens = F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" \n ")), r"[\x20\x09\x0B-\x0D]+")
+    out = rows.select(*keys, *kept, *[c.alias(w) for c, w in zip(_word_sums(F.split(F.col(text), "\n")), words)], tokens.alias("t"))
     zipped = F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1))).alias("b"))
     out = out.select(*keys, *kept, *words, F.posexplode(zipped).alias("pos", "z"))
-    h = F.when((F.col("z.a") != "") | F.col("z.b").isNotNull(), F.xxhash64("z.a", "z.b"))
-    out = out.select(*keys, *kept, *words, F.shiftright("pos", TILE_BITS).alias("tile"), h.alias("h"))
-    longs = COUNTERS // 3
+    pair = [F.col("z.a"), F.when(~F.col("z.b").isin("\n", ""), F.col("z.b"))]
+    word = ~F.col("z.a").isin("\n", "")
+    out = out.select(*keys, *kept, *words, F.shiftright("pos", TILE_BITS).alias("tile"),
+                     F.when(word, F.xxhash64(*pair)).alias("g"), F.when(word, F.xxhash64(F.lit(1), *pair)).alias("h"))
+    longs = COUNTERS // LANES
     sums = out.groupBy(*keys, "tile").agg(
         *[F.first(c).alias(c) for c in kept + words], F.count("h").alias("pairs"),
-        *[F.coalesce(F.sum(_packed("h", j)), F.lit(0)).alias(f"c{j}") for j in range(longs)])
-    lane = (1 << COUNTER_BITS) - 1
-    unpacked = F.array(*[F.shiftright(F.col(f"c{j}"), 20 * k).bitwiseAND(F.lit(lane)) for j in range(longs) for k in range(3)])
+        *[F.coalesce(F.sum(_packed(j)), F.lit(0)).alias(f"c{j}") for j in range(longs)])
+    unpacked = F.array(*[F.shiftrightunsigned(F.col(f"c{j}"), 16 * k).bitwiseAND(F.lit(0xFFFF)) for j in range(longs) for k in range(LANES)])
     return sums.select(*keys, *kept, F.array(*words).alias("words"), "pairs", "tile", unpacked.alias("counters"))
 
 
@@ -114,15 +121,31 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     return _string(join(w1, w2, WORD_BITS), n1 + sign * n2, join(c1, c2, COUNTER_BITS))
 
 
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
+def _product(x: Column, y: Column) -> Column:
+    return _total(F.zip_with(x, y, lambda a, b: a * b))
+
+
+def centred(n: Column, counters: Column) -> Column:
+    """The counters less half the pairs, twice (signed), and the sum of their squares (square)."""
+    # 2 * v - n is known modulo twice the counters' range, and centred there.
+    span = 1 << COUNTER_BITS
+    signed = F.transform(counters, lambda v: ((v * 2 - n + span).bitwiseAND(F.lit(2 * span - 1)) - span).cast("double"))
+    return bound(signed, lambda x: F.struct(x.alias("signed"), _product(x, x).alias("square")))
+
+
+def _alike(n1: Column, a: Column, n2: Column, b: Column) -> Column:
+    base = a["square"] + b["square"]
+    return (F.when((n1 == 0) & (n2 == 0), 1.0).when((n1 == 0) | (n2 == 0) | (base == 0), 0.0)
+            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * _product(a["signed"], b["signed"]) / base))))
+
+
 def likeness(n1: Column, c1: Column, n2: Column, c2: Column) -> Column:
     """0 to 1 from two numbers of pairs and counters."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    signed = lambda c, n: F.transform(c, lambda v: (2 * v - n).cast("double"))
-    a, b = signed(c1, n1), signed(c2, n2)
-    top = total(F.zip_with(a, b, lambda x, y: 2 * x * y))
-    base = total(F.transform(a, lambda x: x * x)) + total(F.transform(b, lambda x: x * x))
-    return (F.when((n1 == 0) & (n2 == 0), 1.0).when((n1 == 0) | (n2 == 0) | (base == 0), 0.0)
-            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), top / base))))
+    return bound(centred(n1, c1), lambda a: bound(centred(n2, c2), lambda b: _alike(n1, a, n2, b)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -189,10 +212,11 @@ def edit_report(docs: DataFrame) -> DataFrame:
     rows = rows.select("range", "rn", *kept, "v.which", "v.body")
     keys = ["range", "rn", "which"]
     merged = _merged(_sketches(rows, keys, kept, "body"), keys, kept)
-    side = lambda k: F.first(F.when(F.col("which") == k, F.struct("words", "pairs", "counters")), ignorenulls=True)
+    merged = merged.withColumn("centred", centred(F.col("pairs"), F.col("counters")))
+    side = lambda k: F.first(F.when(F.col("which") == k, F.struct("words", "pairs", "counters", "centred")), ignorenulls=True)
     both = merged.groupBy("range", "rn").agg(*[F.first(c).alias(c) for c in kept], side(0).alias("own"), side(1).alias("other"))
     both = both.withColumn("following", F.lead("own").over(Window.partitionBy("range").orderBy("rn"))).where("guest = 0")
-    near = lambda x: likeness(F.col("own.pairs"), F.col("own.counters"), F.col(f"{x}.pairs"), F.col(f"{x}.counters"))
+    near = lambda x: _alike(F.col("own.pairs"), F.col("own.centred"), F.col(f"{x}.pairs"), F.col(f"{x}.centred"))
     text = lambda x: _string(F.col(f"{x}.words"), F.col(f"{x}.pairs"), F.col(f"{x}.counters"))
     sha = F.concat(*[_hex(F.col(f"s{i}"), k) for i, (_, k) in enumerate(parts)])
     return both.select("doc_id", "n_chars", sha.alias("edited_sha256"), text("own").alias("fingerprint"),
