@@ -10,10 +10,11 @@ The words that neighbours have in common (the longest-common-prefix array, up to
 MIN_WORDS) cut the order into nested intervals; each suffix is matched with the
 first place, in document order, of its deepest interval that has an earlier one.
 Intervals that go on in other sorted partitions meet through the partitions'
-edges.  Matches on one diagonal that touch are joined, and each is extended word
-by word to the left and right until words differ; those of MIN_WORDS words or
-more are repeats.  Only the later copy is reported, so the first copy of every
-passage stays.
+edges.  Matches on one diagonal that touch are joined, and each is extended to
+the left and right until words differ: by words, then, if it goes on, by hashes
+of blocks of words, then by words within the first block that differs.  Those of
+MIN_WORDS words or more are repeats.  Only the later copy is reported, so the
+first copy of every passage stays.
 
 Intervals are never expanded into pairs: a suffix has one partner, and one with
 a longer common prefix can hide one that agrees further to the left.  So the
@@ -22,9 +23,9 @@ are not inside a repeat found, are hashed with those of its interval, and each
 is matched with the first equal one.  Every window that occurs at an earlier
 place thus lies in a repeat.
 
-Words are compared by 32 bits of their hashes when matches are extended, and by
-64 bits where suffixes and windows are matched: an end of a repeat is one word
-too far with probability 2^-32.
+Words are compared by 32 bits of their hashes when matches are extended, blocks
+by 64 bits of theirs, and by 64 bits where suffixes and windows are matched: an
+end of a repeat is one word too far with probability 2^-32.
 
 Defined results: documents are ordered by doc_id (null first), rows of one
 doc_id as they are read; null, empty or short texts have no repeats; repeats
@@ -37,6 +38,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,10 @@ from helixlake.llm.common import bucketed, discard, materialise, prepare, releas
 
 #: KEY + WINDOW - 1 <= MIN_WORDS and GRAM <= KEY: no repeat of MIN_WORDS words goes without a common suffix.
 MIN_WORDS, KEY, WINDOW, GRAM = 50, 26, 25, 8
-#: Words compared at either end of a match at first; matches that go on are extended again, twice as far each time.
+#: Words compared at either end of a match at first, and words in a block.
 REACH = WINDOW + 1
+#: Blocks compared at either end of a match that goes on; where all are equal, so many times as many are next.
+BLOCKS, FURTHER = 16, 16
 #: Suffixes in a sorted partition, on average, and rows in a bucket of the word index.
 SORTED_ROWS, BUCKET_ROWS = 40_000, 20_000
 FIRST = -(1 << 63)
@@ -387,17 +391,22 @@ def repeats(base: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _grown(index: DataFrame, matches: DataFrame) -> DataFrame:
     """(uid, a, b, source_uid, shift): the repeats of MIN_WORDS words or more that contain matches, as far as words agree."""
-    runs = materialise(_joined(matches), "sparse-runs")
-    found, reach = None, REACH
-    while True:
-        extended = materialise(_extended(index, runs, reach), "sparse-extended")
+    def extended(matches: DataFrame, *reach: int) -> DataFrame:
+        runs = materialise(_joined(matches), "sparse-runs")
+        out = materialise(_extended(index, runs, *reach), "sparse-extended")
         discard(runs)
-        whole = extended.where("not more")
-        found = whole if found is None else found.union(whole)
-        going = extended.where("more")
-        if going.isEmpty():
-            break
-        runs, reach = materialise(_joined(going), "sparse-runs"), 2 * reach
+        return out
+
+    first = extended(matches, REACH)
+    found, going, blocks, rounds = first.where("not more"), first.where("more"), BLOCKS, []
+    while not going.isEmpty():
+        rounds.append(extended(going, blocks, REACH))
+        going, blocks = rounds[-1].where("more"), FURTHER * blocks
+    if rounds:
+        # Both ends of each are now in a block that differs or at the end of a text.
+        found = found.union(extended(reduce(DataFrame.union, [x.where("not more") for x in rounds]), REACH))
+    for x in rounds:
+        discard(x)
     release(index.sparkSession)
     return found.where(F.col("b") - F.col("a") >= MIN_WORDS).select("uid", "a", "b", "source_uid", "shift")
 
@@ -411,12 +420,27 @@ def _joined(matches: DataFrame) -> DataFrame:
         F.min("a").cast("int").alias("a"), F.max("b").cast("int").alias("b")).drop("run")
 
 
-def _extended(index: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
-    """runs with a and b moved outwards while words agree, up to reach words; more: an end could go on.
+def _blocks(words: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, back: bool = False) -> pa.Array:
+    """Hashes (two values each) of the whole blocks of size words in words[low:high] of each pair, the last block first if back."""
+    many = np.maximum(high - low, 0) // size
+    first = np.concatenate([[0], np.cumsum(many)])
+    step = size * (np.arange(first[-1]) - np.repeat(first[:-1], many))
+    start = np.repeat(high - size, many) - step if back else np.repeat(low, many) + step
+    wide = kernels.mix(words.astype(np.uint64) + np.uint64(1))
+    return _binary(kernels.span_hashes(wide, start, start + size).view(np.uint32), 2 * first)
+
+
+def _extended(index: DataFrame, runs: DataFrame, many: int, size: int = 1) -> DataFrame:
+    """runs with a and b moved outwards while blocks of size words agree, up to many blocks; more: an end has moved that far.
 
-    The words around each source place (left: nearest first) travel to the runs
-    that have it, and the runs to their own words.
+    The words around each source place (left: nearest first), or the hashes of
+    their blocks, travel to the runs that have it, and the runs to their own words.
     """
+    reach, values = many * size, 1 if size == 1 else 2
+
+    def taken(words: np.ndarray, low: np.ndarray, high: np.ndarray, back: bool = False) -> pa.Array:
+        return _taken(words, low, high, back) if size == 1 else _blocks(words, low, high, size, back)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = _unpacked(batch.column(1))
@@ -425,18 +449,19 @@ def _extended(index: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
             a, b = a[own], b[own]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), pa.array(a), pa.array(b),
-                 _taken(words, np.maximum(first[row] + a - reach, first[row]), first[row] + a, True),
-                 _taken(words, first[row] + b, np.minimum(first[row] + b + reach, first[row + 1]))], ["source_uid", "sa", "sb", "left", "right"])
+                 taken(words, np.maximum(first[row] + a - reach, first[row]), first[row] + a, True),
+                 taken(words, first[row] + b, np.minimum(first[row] + b + reach, first[row + 1]))], ["source_uid", "sa", "sb", "left", "right"])
 
     placed = runs.withColumn("sa", F.col("a") - F.col("shift")).withColumn("sb", F.col("b") - F.col("shift"))
     wanted = placed.select(F.col("source_uid").alias("uid"), "sa", "sb").distinct()
-    ends = materialise(_asked(index, wanted, ["sa", "sb"], ["uid", "words"]).mapInArrow(
-        cut, "source_uid long, sa int, sb int, left binary, right binary"), "sparse-ends")
+    # Ends go straight to the join: each stored table costs every task a file, and there is a round for each reach.
+    ends = _asked(index, wanted, ["sa", "sb"], ["uid", "words"]).mapInArrow(
+        cut, "source_uid long, sa int, sb int, left binary, right binary")
     both = placed.join(ends, ["source_uid", "sa", "sb"])
 
     def agreeing(words: np.ndarray, low: np.ndarray, high: np.ndarray, back: bool, other: pa.Array) -> np.ndarray:
-        """Leading values that own words and other have in common, row by row."""
-        mine, theirs = _unpacked(_taken(words, low, high, back)), _unpacked(other)
+        """Words in the leading blocks that own words and other have in common, row by row."""
+        mine, theirs = _unpacked(taken(words, low, high, back)), _unpacked(other)
         sizes = [np.diff(x[1]) for x in (mine, theirs)]
         n = np.minimum(*sizes)
         row, start = np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
@@ -444,7 +469,7 @@ def _extended(index: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
         differ = mine[0][mine[1][:-1][row] + step] != theirs[0][theirs[1][:-1][row] + step]
         out = n.copy()
         np.minimum.at(out, row[differ], step[differ])
-        return out.astype(np.int32)
+        return (out // values * size).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

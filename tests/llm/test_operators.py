@@ -413,6 +413,24 @@ def test_long_repeat_is_reported_whole(spark):
     assert (2, 10, 1000, 1, 20) in got
 
 
+def test_long_repeat_takes_few_rounds(spark, monkeypatch):
+    """A repeat of 6,000 words, known at first by 50 of them, is whole after four rounds, and small values travel for it."""
+    rng = random.Random(13)
+    own = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    passage = own(6000)
+    texts = [own(9) + passage + own(9), own(20) + passage + own(30)]
+    table = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "uid long, doc_id long, text string").coalesce(1)
+    suffix_dedup.prepare(spark)
+    index = suffix_dedup._index(table)
+    match = spark.createDataFrame([(1, 0, 11, 3000, 3050)], "uid long, source_uid long, shift int, a int, b int")
+    stored, store = [], suffix_dedup.materialise
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, name, *rest: (stored.append(name), store(df, name, *rest))[1])
+    got = [tuple(r) for r in suffix_dedup._grown(index, match).collect()]
+    suffix_dedup.discard(index)
+    assert got == [(1, 20, 6020, 0, 11)]
+    assert stored.count("sparse-extended") <= 4 and set(stored) == {"sparse-runs", "sparse-extended"}
+
+
 def test_common_prefixes_against_brute_force():
     rng = random.Random(3)
     rows = sorted({(rng.randint(0, 2), bytes(x for _ in range(rng.randint(0, 24)) for x in (0, rng.randint(0, 1), 0, 0))) for _ in range(400)})
