@@ -18,10 +18,10 @@ MOST_BUCKETS = 20_000
 BATCH_BYTES = 8_000_000
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Lets Python workers import this package wherever they run, and bounds the batches that they get."""
     # Two copies of a batch of texts live in the JVM and in the worker at a time.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     ship(spark)
 
 

@@ -56,6 +56,8 @@ REACH = WINDOW + 1
 BLOCKS, FURTHER = 16, 16
 #: Suffixes in a sorted partition, on average, and rows in a bucket of the word index.
 SORTED_ROWS, BUCKET_ROWS = 40_000, 20_000
+#: Bytes of an Arrow batch, and of the texts hashed at a time: a word of either makes several 64-bit values.
+BATCH_BYTES, TEXT_BYTES = 2_000_000, 250_000
 FIRST = -(1 << 63)
 _PLACE = ("doc", "uid", "pos")
 
@@ -92,7 +94,7 @@ def _index(base: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.chunks(batch.column(2)):
+            for part in kernels.chunks(batch.column(2), TEXT_BYTES):
                 words, first, _ = part.words()
                 at = selected(words, first)
                 doc = np.searchsorted(first, at, "right") - 1
@@ -357,7 +359,7 @@ def _windows(index: DataFrame, places: DataFrame, spans: DataFrame) -> DataFrame
 
 def repeats(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found, names): (uid, start, end, source_uid, source_start), repeats in words of base(uid, doc_id, text), and (uid, doc, doc_id)."""
-    prepare(base.sparkSession)
+    prepare(base.sparkSession, BATCH_BYTES)
     index = _index(base)
     suffixes = index.select("uid", F.explode(F.arrays_zip(F.col("at").alias("pos"), F.col("keys").alias("key"))).alias("s")).select("uid", "s.pos", "s.key")
     common = materialise(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > 2).alias("many")), "sparse-keys")

@@ -431,6 +431,13 @@ def test_long_repeat_takes_few_rounds(spark, monkeypatch):
     assert stored.count("sparse-extended") <= 4 and set(stored) == {"sparse-runs", "sparse-extended"}
 
 
+def test_passages_bound_their_batches(spark, docs):
+    """Workers of op 7 make several 64-bit values of a word, so they get smaller batches than others."""
+    suffix_dedup.prepare(spark)
+    suffix_dedup.repeat_report(docs)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2_000_000
+
+
 def test_common_prefixes_against_brute_force():
     rng = random.Random(3)
     rows = sorted({(rng.randint(0, 2), bytes(x for _ in range(rng.randint(0, 24)) for x in (0, rng.randint(0, 1), 0, 0))) for _ in range(400)})
