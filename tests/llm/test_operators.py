@@ -431,6 +431,12 @@ def test_long_repeat_takes_few_rounds(spark, monkeypatch):
     assert stored.count("sparse-extended") <= 4 and set(stored) == {"sparse-runs", "sparse-extended"}
 
 
+def test_text_of_one_word(spark):
+    """Each of its suffixes is a match on a diagonal of its own that goes on to the end."""
+    table = spark.createDataFrame([(1, "w " * 32_000)], "doc_id long, text string")
+    assert [tuple(r) for r in suffix_dedup.repeat_report(table).collect()] == [(1, 1, 31_999, 1, 0)]
+
+
 def test_passages_bound_their_batches(spark, docs):
     """Workers of op 7 make several 64-bit values of a word, so they get smaller batches than others."""
     suffix_dedup.prepare(spark)
