@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.joins import sorted_join
+
 #: Width of the bins that interval joins meet in.
 BIN = 1_000
 
@@ -22,7 +24,7 @@ def overlapping(features: DataFrame, regions: DataFrame, width: int = BIN) -> Da
     bins = lambda a, b: F.sequence(F.floor((a - 1) / width), F.floor((b - 1) / width))
     f = features.withColumn("s", F.explode("segments")).withColumn("bin", F.explode(bins(F.col("s.start"), F.col("s.end"))))
     r = regions.withColumn("bin", F.explode(bins(F.col("region_start"), F.col("region_end"))))
-    hit = f.join(r, ["molecule_id", "bin"]).where((F.col("s.start") <= F.col("region_end")) & (F.col("s.end") >= F.col("region_start")))
+    hit = sorted_join(f, r, ["molecule_id", "bin"]).where((F.col("s.start") <= F.col("region_end")) & (F.col("s.end") >= F.col("region_start")))
     first = F.floor((F.greatest("s.start", "region_start") - 1) / width)
     return hit.where(F.col("bin") == first).select("molecule_id", "feature_id", "region_start", "region_end").distinct()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.joins import sorted_join
+
 
 def normalise(edits: DataFrame) -> DataFrame:
     """edits(molecule_id, topology, sequence, operation, start, end, inserted) with code, and the replaced range.
@@ -61,7 +63,7 @@ def remap(features: DataFrame, edits: DataFrame) -> DataFrame:
     """
     e = edits.where("code is null").select("molecule_id", (F.col("operation") == "insert").alias("_ins"), F.col("start").alias("_a"),
                                            F.col("end").alias("_b"), F.length("inserted").alias("_k"))
-    rows = features.join(e, "molecule_id")
+    rows = sorted_join(features, e, "molecule_id")
     rows = rows.withColumn("_all", F.transform("segments", lambda s: _segment(s, F.col("_ins"), F.col("_a"), F.col("_b"), F.col("_k"))))
     left = F.transform(F.filter("_all", lambda s: s["start"].isNotNull()),
                        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["strand"].alias("strand")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixlake import constants as K
 from helixlake.functions import sequence as S
+from helixlake.joins import sorted_join
 
 # Element types in 5' to 3' order, and the feature type each is inferred from.
 ORDER = {"t7_promoter": 0, "sp6_promoter": 0, "five_utr": 1, "kozak": 2, "cds": 3, "three_utr": 4, "polya_signal": 5, "polya_tail": 6, "ivt_site": 7}
@@ -43,7 +44,7 @@ def checks(molecules: DataFrame, elements: DataFrame, plasmid: bool = False) ->
     """
     wide = elements.groupBy("molecule_id").pivot("element", list(ORDER)).agg(F.first(F.struct("start", "end")))
     seq = F.translate(F.upper("sequence"), "U", "T")
-    rows = molecules.select("molecule_id", seq.alias("t"), F.length("sequence").alias("n")).join(wide, "molecule_id", "left")
+    rows = sorted_join(molecules.select("molecule_id", seq.alias("t"), F.length("sequence").alias("n")), wide, "molecule_id", "left")
     made: list[Column] = []
 
     def check(when: Column | None, name: str, element: Column | str, status: Column) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake import constants as K
+from helixlake.joins import sorted_join
 
 
 def issues(rows: DataFrame, path: Column, code: str, message: str) -> DataFrame:
@@ -21,13 +22,13 @@ def duplicate_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def dangling(rows: DataFrame, molecules: DataFrame, key: str = "molecule_id") -> DataFrame:
     """Rows that refer to a molecule that isn't there."""
-    return rows.join(molecules.select(F.col("molecule_id").alias(key)), key, "left_anti")
+    return sorted_join(rows, molecules.select(F.col("molecule_id").alias(key)), key, "left_anti")
 
 
 def invalid_segments(features: DataFrame, molecules: DataFrame) -> DataFrame:
     """Segments outside 1..length, turned around, or with an unknown strand."""
     rows = features.select("molecule_id", "feature_id", F.posexplode("segments").alias("i", "s"))
-    rows = rows.join(molecules.select("molecule_id", F.length("sequence").alias("n")), "molecule_id")
+    rows = sorted_join(rows, molecules.select("molecule_id", F.length("sequence").alias("n")), "molecule_id")
     code = (F.when(~F.coalesce(F.col("s.strand").isin("+", "-", "none"), F.lit(False)), F.lit("INVALID_STRAND"))
             .when(F.col("s.start") > F.col("s.end"), F.lit("INVALID_SEGMENT"))
             .when((F.col("s.start") < 1) | (F.col("s.end") > F.col("n")), F.lit("COORDINATE_OUT_OF_RANGE")))
@@ -89,7 +90,7 @@ def _spelled(text: str, alphabet: str) -> Column:
 def primer_fields(primers: DataFrame, molecules: DataFrame) -> DataFrame:
     """Issues of primers: the letters are those of the molecule's type (DNA without one); a binding needs a molecule."""
     kinds = molecules.select(F.col("molecule_id").alias("_id"), "molecule_type")
-    rows = primers.join(kinds, F.col("molecule_id") == F.col("_id"), "left")
+    rows = sorted_join(primers, kinds, F.col("molecule_id") == F.col("_id"), "left")
     kind = F.col("molecule_type")
     letters = F.when(kind == "rna", _spelled("sequence", K.RNA)).when(kind == "protein", _spelled("sequence", K.PROTEIN)).otherwise(_spelled("sequence", K.DNA))
     bound = F.size(F.coalesce("segments", F.array())) == 0
@@ -99,7 +100,7 @@ def primer_fields(primers: DataFrame, molecules: DataFrame) -> DataFrame:
 def guide_fields(guides: DataFrame, molecules: DataFrame) -> DataFrame:
     """Issues of guides: strand, letters, places inside a DNA molecule in order, and the figures of their filters if they are there."""
     own = molecules.select(F.col("molecule_id").alias("_id"), "molecule_type", F.length("sequence").alias("_n"))
-    rows = guides.join(own, F.col("molecule_id") == F.col("_id"), "left")
+    rows = sorted_join(guides, own, F.col("molecule_id") == F.col("_id"), "left")
     inside = lambda c: F.col("_id").isNull() | F.col(c).between(1, F.col("_n"))
     absent = lambda c, ok: F.col(c).isNull() | ok
     return _fields(rows, "guides", "guide_id", [

@@ -30,31 +30,42 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
-def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dealt(rows: DataFrame, by_key: bool) -> DataFrame:
+    """rows by molecule_id for joins on it, which then move nothing that is made of them; else spread.
+
+    The number of partitions is given, as few narrow rows would be put into one, and the work on what is made of them with them.
+    """
+    spark = rows.sparkSession
+    many = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(many, "molecule_id") if by_key else spread(rows)
+
+
+def molecules(spark: SparkSession, sf_dir: str, by_key: bool = False) -> DataFrame:
     """(molecule_id, name, topology, sequence) of every part."""
-    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
-    return p.select(F.col("p_partkey").cast("long").alias("molecule_id"), F.col("p_name").alias("name"),
-                    F.when(F.col("p_size") % 2 == 0, "circular").otherwise("linear").alias("topology"), dna(F.col("p_partkey")).alias("sequence"))
+    p = _dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("molecule_id"), "p_name", "p_size"), by_key)
+    return p.select("molecule_id", F.col("p_name").alias("name"),
+                    F.when(F.col("p_size") % 2 == 0, "circular").otherwise("linear").alias("topology"), dna(F.col("molecule_id")).alias("sequence"))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, by_key: bool = False) -> DataFrame:
     """(molecule_id, feature_id, type, segments) of every lineitem: one or two segments of its part's molecule."""
-    x = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
+    x = _dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_partkey").cast("long").alias("molecule_id"), "l_suppkey",
+                                                       "l_returnflag", "l_linestatus"), by_key)
     q, line = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
     start = 1 + (F.col("l_orderkey") * 7 + line * 13 + q) % 180
     strand = F.when(F.col("l_returnflag") == "R", "-").otherwise("+")
     seg = lambda a, b: F.struct(a.alias("start"), b.alias("end"), strand.alias("strand"))
     one = F.array(seg(start, start + q))
     two = F.array(seg(start, start + q), seg(start + q + 5, start + q + 14))
-    return x.select(F.col("l_partkey").cast("long").alias("molecule_id"),
+    return x.select("molecule_id",
                     F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), line.cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"),
                              F.lit("-"), q.cast("string")).alias("feature_id"),
                     F.when(F.col("l_linestatus") == "O", "CDS").otherwise("gene").alias("type"), F.when(line % 2 == 0, two).otherwise(one).alias("segments"))
 
 
-def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edits(spark: SparkSession, sf_dir: str, by_key: bool = False) -> DataFrame:
     """One edit of every molecule: insert, delete, replace or mutate by its key."""
-    m = molecules(spark, sf_dir)
+    m = molecules(spark, sf_dir, by_key)
     k = F.col("molecule_id")
     op = F.element_at(F.array(*map(F.lit, ("insert", "delete", "replace", "mutate"))), (k % 4 + 1).cast("int"))
     start = 1 + (k * 11) % 200

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixlake import constants as K
 from helixlake.functions import sequence as S
 from helixlake.functions import text as X
+from helixlake.joins import sorted_join
 from helixlake.operators import alignment, assembly, context, editing, gel, guides, mrna, orfs, pcr, restriction, validation
 from helixlake.plans import derive as D
 from helixlake.plans.derive import EDIT, FEAT, MOL, RC
@@ -72,7 +73,7 @@ def ambiguous_positions(spark, d):
   FROM seg s JOIN mol m USING (molecule_id) GROUP BY s.molecule_id, feature_id)
 SELECT molecule_id, feature_id, CASE WHEN strand = '-' THEN {RC.format('txt')} ELSE txt END AS extracted FROM t""")
 def extract_segments(spark, d):
-    f = D.features(spark, d).join(D.molecules(spark, d).select("molecule_id", "sequence"), "molecule_id")
+    f = sorted_join(D.features(spark, d, by_key=True), D.molecules(spark, d, by_key=True).select("molecule_id", "sequence"), "molecule_id")
     return f.select("molecule_id", "feature_id", S.extract_segments("sequence", "segments").alias("extracted"))
 
 
@@ -303,8 +304,8 @@ def orfs_both_strands(spark, d):
   ELSE substr(sequence, s.s, s.e - s.s + 1) END AS x FROM seg s JOIN mol m USING (molecule_id))
 SELECT molecule_id, start, "end", strand, {_aa('x')} AS amino_acids, CASE WHEN len(x) % 3 > 0 THEN right(x, len(x) % 3) END AS partial_codon FROM t""")
 def translate_region(spark, d):
-    f = D.features(spark, d).select("molecule_id", F.explode("segments").alias("s")).select("molecule_id", "s.*")
-    return orfs.translate_region(f.join(D.molecules(spark, d).select("molecule_id", "sequence"), "molecule_id"))
+    f = D.features(spark, d, by_key=True).select("molecule_id", F.explode("segments").alias("s")).select("molecule_id", "s.*")
+    return orfs.translate_region(sorted_join(f, D.molecules(spark, d, by_key=True).select("molecule_id", "sequence"), "molecule_id"))
 
 
 # Guides
@@ -339,7 +340,7 @@ _OFF = """off AS (SELECT a.molecule_id AS guide_molecule, a.start AS guide_start
 
 @query("guide_off_targets", f"WITH {MOL}, {_PAM}, {_OFF} SELECT * FROM off")
 def guide_off_targets(spark, d):
-    g = guides.pam_sites(D.molecules(spark, d))
+    g = guides.pam_sites(D.molecules(spark, d, by_key=True))
     return guides.off_targets(g, g, most=9)
 
 
@@ -349,7 +350,7 @@ r AS (SELECT j.*, coalesce(n.n, 0) AS off_targets, row_number() OVER (PARTITION
   FROM judged j LEFT JOIN n ON j.molecule_id = n.guide_molecule AND j.start = n.guide_start AND j.strand = n.guide_strand)
 SELECT *, total > 20 AS truncated FROM r WHERE rank <= 20""")
 def guide_ranking_top20(spark, d):
-    g = guides.pam_sites(D.molecules(spark, d))
+    g = guides.pam_sites(D.molecules(spark, d, by_key=True))
     return guides.rank(guides.annotate(g), guides.off_targets(g, g, most=9))
 
 
@@ -422,7 +423,7 @@ g AS (SELECT molecule_id, feature_id, type, CASE WHEN count(ns) = 0 THEN 'delete
   FROM z GROUP BY molecule_id, feature_id, type)
 SELECT *, type = 'CDS' AND impact <> 'deleted' AND (after - before) % 3 <> 0 AS frameshift FROM g""")
 def feature_remap(spark, d):
-    r = editing.remap(D.features(spark, d), editing.normalise(D.edits(spark, d)))
+    r = editing.remap(D.features(spark, d, by_key=True), editing.normalise(D.edits(spark, d, by_key=True)))
     text = F.array_join(F.transform("remapped", lambda s: F.concat(s["start"].cast("string"), F.lit(".."), s["end"].cast("string"))), ",")
     return r.select("molecule_id", "feature_id", "type", "impact", text.alias("segments"), "before", "after", "frameshift")
 
@@ -450,13 +451,13 @@ def duplicate_ids(spark, d):
 
 @query("dangling_refs", f"""WITH {MOL}, {FEAT} SELECT molecule_id, feature_id FROM feat WHERE molecule_id NOT IN (SELECT molecule_id FROM mol WHERE topology = 'linear')""")
 def dangling_refs(spark, d):
-    return validation.dangling(D.features(spark, d), D.molecules(spark, d).where("topology = 'linear'")).select("molecule_id", "feature_id")
+    return validation.dangling(D.features(spark, d, by_key=True), D.molecules(spark, d, by_key=True).where("topology = 'linear'")).select("molecule_id", "feature_id")
 
 
 @query("invalid_segments", f"""WITH {FEAT} SELECT molecule_id, feature_id, CAST(i AS BIGINT) AS segment, 'COORDINATE_OUT_OF_RANGE' AS code FROM seg WHERE e > 200""")
 def invalid_segments(spark, d):
-    m = D.molecules(spark, d).withColumn("sequence", F.substring("sequence", 1, 200))
-    return validation.invalid_segments(D.features(spark, d), m)
+    m = D.molecules(spark, d, by_key=True).withColumn("sequence", F.substring("sequence", 1, 200))
+    return validation.invalid_segments(D.features(spark, d, by_key=True), m)
 
 
 @query("digest_mismatch", f"""WITH {MOL} SELECT molecule_id, CASE WHEN molecule_id % 5 = 0 THEN 'LENGTH_MISMATCH' ELSE 'DIGEST_MISMATCH' END AS code FROM mol WHERE molecule_id % 5 = 0 OR molecule_id % 7 = 0""")
