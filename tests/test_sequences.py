@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,14 @@ def test_only_dna_passes_the_gate(spark):
     m = spark.createDataFrame([(1, "dna", "ACGT"), (2, "rna", "ACGU"), (3, "dna", "ACGN"), (4, None, "ACGT")], "molecule_id long, molecule_type string, sequence string")
     clear, errors = restriction.gate(m)
     assert rows(clear, "molecule_id") == [(1,)] and rows(errors, "molecule_id", "code") == [(2, "ALPHABET_MISMATCH"), (3, "AMBIGUOUS_SEQUENCE"), (4, "ALPHABET_MISMATCH")]
+
+
+def test_rows_of_scores_are_narrow():
+    """Scores are held in two bytes where they fit, pairs last; in more where they don't, with the same results."""
+    letters = np.frombuffer(b"ACGT", np.uint8)[np.random.default_rng(1).integers(0, 4, (2, 3, 256))]
+    assert alignment._Grid(*letters, 1, -1, -2, False).first().dtype == np.int16
+    assert alignment._Grid(*letters, 1, -1, -2, False).first().shape == (257, 3)
+    wide = alignment._Grid(*letters, 10**6, -(10**6), -2 * 10**6, False)
+    assert wide.first().dtype == np.int64
+    narrow, wide = alignment._Grid(*letters, 1, -1, -2, False).align(), wide.align()
+    assert (narrow[0] * 10**6 == wide[0]).all() and (narrow[3] == wide[3]).all()
