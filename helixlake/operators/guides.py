@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixlake import constants as K
 from helixlake.functions import sequence as S
+from helixlake.joins import sorted_join
 
 LENGTH = 20
 
@@ -72,7 +73,7 @@ def off_targets(guides: DataFrame, sites: DataFrame, most: int = 3, own_molecule
     s = sites.select(F.col("molecule_id").alias("site_molecule"), F.col("start").alias("site_start"), F.col("strand").alias("site_strand"), F.col("guide").alias("site"), _bits("guide").alias("sbits"))
     same = ((F.col("guide_molecule") == F.col("site_molecule")) & (F.col("guide_start") == F.col("site_start")) & (F.col("guide_strand") == F.col("site_strand")))
     if own_molecule:
-        return _verified(g.join(s, (F.col("guide_molecule") == F.col("site_molecule")) & ~same), most)
+        return _verified(sorted_join(g, s, (F.col("guide_molecule") == F.col("site_molecule")) & ~same), most)
     cuts = [LENGTH * i // (most + 1) for i in range(most + 2)]
 
     def blocks(text: str) -> Column:
@@ -84,15 +85,18 @@ def off_targets(guides: DataFrame, sites: DataFrame, most: int = 3, own_molecule
     first = F.lit(None).cast("int")
     for i, (a, b) in reversed(list(enumerate(zip(cuts[:-1], cuts[1:])))):
         first = F.when(F.substring("guide", a + 1, b - a) == F.substring("site", a + 1, b - a), i).otherwise(first)
-    pairs = left.join(right, (F.col("block") == F.col("b")) & (F.col("part") == F.col("p")) & ~same).where(first == F.col("block"))
+    pairs = sorted_join(left, right, (F.col("block") == F.col("b")) & (F.col("part") == F.col("p")) & ~same).where(first == F.col("block"))
     return _verified(pairs.drop("block", "part", "b", "p"), most)
 
 
 def rank(annotated: DataFrame, hits: DataFrame, most: int = K.MAX_GUIDES) -> DataFrame:
     """The best guides of each molecule, with their off-target counts, the total and whether some are left out."""
-    n = hits.groupBy(F.col("guide_molecule").alias("molecule_id"), F.col("guide_start").alias("start"), F.col("guide_strand").alias("strand")).agg(
-        F.count("*").alias("off_targets"))
-    rows = annotated.join(n, ["molecule_id", "start", "strand"], "left").withColumn("off_targets", F.coalesce("off_targets", F.lit(0)))
+    n = hits.groupBy(F.col("guide_molecule").alias("_m"), F.col("guide_start").alias("_a"), F.col("guide_strand").alias("_s")).agg(F.count("*").alias("off_targets"))
+    # The key is the molecule alone, so that all steps share its partitions; the place is no equality for the planner.
+    place = F.when(F.col("strand") == F.col("_s"), F.col("start") - F.col("_a")) == 0
+    rows = sorted_join(annotated, n, (F.col("molecule_id") == F.col("_m")) & place, "left").drop("_m", "_a", "_s")
+    rows = rows.select("molecule_id", "start", "strand", *[c for c in rows.columns if c not in ("molecule_id", "start", "strand", "off_targets")],
+                       F.coalesce("off_targets", F.lit(0)).alias("off_targets"))
     own = Window.partitionBy("molecule_id")
     order = own.orderBy(F.desc("passing"), "off_targets", F.abs(F.col("gc_percent") - 50), "start", "end", F.when(F.col("strand") == "+", 0).otherwise(1))
     return (rows.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("total", F.count("*").over(own))

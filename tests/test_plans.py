@@ -18,3 +18,10 @@ def test_no_table_that_grows_is_broadcast(spark, name):
     """The planner takes a derived table for as small as its file; a join must not gather it in the driver."""
     text = plan(queries.QUERIES[name](spark, SMALL))
     assert "Broadcast" not in text and "SortMergeJoin" in text
+
+
+def test_guides_of_a_molecule_stay_in_one_partition(spark):
+    """Guides are made where their molecule was dealt to: no guide is broadcast or moved, only narrow rows of molecules."""
+    for name, scans in (("guide_off_targets", 2), ("guide_ranking_top20", 3)):
+        text = plan(queries.QUERIES[name](spark, SMALL))
+        assert "Broadcast" not in text and text.count("Exchange") == scans and text.count("REPARTITION_BY_NUM") == scans
