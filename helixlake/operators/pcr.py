@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.functions import sequence as S
+from helixlake.joins import held
 
 
 def products(pairs: DataFrame) -> DataFrame:
@@ -16,10 +17,10 @@ def products(pairs: DataFrame) -> DataFrame:
     long; primers that span the origin themselves are not found.
     """
     n, ring = F.length("sequence"), F.col("topology") == "circular"
-    hits = pairs.select("molecule_id", "sequence", n.alias("n"), ring.alias("ring"),
-                        F.length("forward").alias("fl"), F.length("reverse").alias("rl"),
-                        S.occurrences("sequence", F.upper("forward")).alias("fs"),
-                        S.occurrences("sequence", S.reverse_complement("reverse")).alias("rs"))
+    hits = held(pairs.select("molecule_id", "sequence", n.alias("n"), ring.alias("ring"),
+                             F.length("forward").alias("fl"), F.length("reverse").alias("rl"),
+                             S.occurrences("sequence", F.upper("forward")).alias("fs"),
+                             S.occurrences("sequence", S.reverse_complement("reverse")).alias("rs")))
     rows = hits.where((F.size("fs") > 0) & (F.size("rs") > 0)).withColumn("f", F.explode("fs")).withColumn("r", F.explode("rs"))
     end = F.col("r") + F.col("rl") - 1
     around = F.when(end >= F.col("f"), end - F.col("f") + 1).otherwise(end + F.col("n") - F.col("f") + 1)
