@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.joins import sorted_join
+from helixlake.joins import held, sorted_join
 
 
 def normalise(edits: DataFrame) -> DataFrame:
@@ -14,6 +14,7 @@ def normalise(edits: DataFrame) -> DataFrame:
     Operations: insert (before start; one past the end appends, if linear),
     delete, replace, mutate (as long as what it replaces).
     """
+    edits = held(edits)
     op, n, ins = F.col("operation"), F.length("sequence"), F.coalesce("inserted", F.lit(""))
     insert = op == "insert"
     span = F.col("end") - F.col("start") + 1
@@ -26,8 +27,8 @@ def normalise(edits: DataFrame) -> DataFrame:
             .when((op == "mutate") & (F.length(ins) != span), F.lit("INVALID_ARGUMENT"))
             .when(op.isin("replace", "mutate") & (F.substr("sequence", F.col("start").cast("int"), span.cast("int")) == ins), F.lit("NO_CHANGE"))
             .when((op == "delete") & (span == n), F.lit("INVALID_ARGUMENT")))
-    return edits.withColumn("code", code).withColumn("inserted", F.when(op == "delete", F.lit("")).otherwise(ins)) \
-                .withColumn("end", F.when(insert, F.col("start") - 1).otherwise(F.col("end")))
+    return held(edits.withColumn("code", code).withColumn("inserted", F.when(op == "delete", F.lit("")).otherwise(ins))
+                .withColumn("end", F.when(insert, F.col("start") - 1).otherwise(F.col("end"))))
 
 
 def apply(edits: DataFrame) -> DataFrame:
@@ -64,15 +65,16 @@ def remap(features: DataFrame, edits: DataFrame) -> DataFrame:
     e = edits.where("code is null").select("molecule_id", (F.col("operation") == "insert").alias("_ins"), F.col("start").alias("_a"),
                                            F.col("end").alias("_b"), F.length("inserted").alias("_k"))
     rows = sorted_join(features, e, "molecule_id")
-    rows = rows.withColumn("_all", F.transform("segments", lambda s: _segment(s, F.col("_ins"), F.col("_a"), F.col("_b"), F.col("_k"))))
+    rows = held(rows.withColumn("_all", F.transform("segments", lambda s: _segment(s, F.col("_ins"), F.col("_a"), F.col("_b"), F.col("_k")))))
     left = F.transform(F.filter("_all", lambda s: s["start"].isNotNull()),
                        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["strand"].alias("strand")))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"] + 1)
     has = lambda what: F.exists("_all", lambda s: s["impact"] == what)
-    impact = F.when(F.size(left) == 0, F.lit("deleted"))
+    rows = held(rows.withColumn("remapped", left))
+    impact = F.when(F.size("remapped") == 0, F.lit("deleted"))
     for what in ("split", "truncated", "resized", "shifted"):
         impact = impact.when(has(what), F.lit(what))
     impact = impact.when(has("deleted"), F.lit("truncated")).otherwise("unaffected")
-    rows = rows.withColumn("impact", impact).withColumn("remapped", left).withColumn("before", total("segments")).withColumn("after", total(left))
+    rows = held(rows.withColumn("impact", impact).withColumn("before", total("segments")).withColumn("after", total("remapped")))
     frame = (F.col("type") == "CDS") & (F.col("impact") != "deleted") & ((F.col("after") - F.col("before")) % 3 != 0)
     return rows.withColumn("frameshift", frame).drop("_ins", "_a", "_b", "_k", "_all")
