@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions import text as X
+from helixlake.joins import held
 
 
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -18,10 +19,10 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = F.array_join(F.filter(F.transform(F.split("content", r"\r\n|\r|\n"), F.trim), lambda x: x != ""), "\n")
     name = lambda p: F.trim(F.substring_index(p, "\n", 1))
     letters = lambda p: F.regexp_replace(F.when(F.instr(p, F.lit("\n")) > 0, F.substr(p, F.instr(p, F.lit("\n")) + 1, F.length(p))).otherwise(""), r"\s", "")
-    rows = files.select("path", F.split(F.concat(F.lit("\n"), body), "\n>", -1).alias("parts"))
+    rows = held(files.select("path", F.split(F.concat(F.lit("\n"), body), "\n>", -1).alias("parts")))
     rows = rows.select("path", "parts", F.trim(F.regexp_replace(F.get("parts", F.lit(0)), r"\s", "")).alias("early"))
     wrong = F.exists(F.slice("parts", F.lit(2), F.size("parts")), lambda p: (name(p) == "") | (letters(p) == ""))
-    rows = rows.withColumn("bad", wrong | (F.col("early") != "") | (F.size("parts") == 1))
+    rows = held(rows.withColumn("bad", wrong | (F.col("early") != "") | (F.size("parts") == 1)))
     found = rows.select("path", "bad", F.posexplode("parts").alias("i", "part")).where("i > 0").select(
         "path", "bad", F.col("i").cast("long").alias("record"), name(F.col("part")).alias("name"), letters(F.col("part")).alias("sequence"))
     bad = rows.where("bad")
